@@ -7,13 +7,16 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.session import ship
+
 #: Rows of one Arrow batch. Long texts make rows large, so batches stay short.
 BATCH_ROWS = 256
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts."""
+    """Keep Arrow batches small enough for very long texts, and send the package to the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

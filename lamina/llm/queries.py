@@ -27,12 +27,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.neardup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), k=4)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.rules import judge
 
     return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.fingerprint import against_next
+
+    return against_next(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op5_packing, op8_quality_rules)
+    f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op5_packing, op6_near_dedup, op8_quality_rules, op10_fingerprints)
 }
