@@ -246,3 +246,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def _repeats(signed: DataFrame) -> bool:
     """Whether a key occurs twice; only then the texts need a dedup by key before confirmation."""
     return not signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stand for their group; rows that repeat a key are reduced to one."""
+    verdicts = materialise(near_duplicates(docs, k, percent).where("doc_id is not null"))
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("_d")).distinct()
+    named = docs.join(kept, docs["doc_id"].cast("long") == F.col("_d"), "left_semi")
+    if not verdicts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

@@ -229,3 +229,18 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_fr
 
     scored = texts(docs).mapInArrow(score, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose text is predicted to be of label 1."""
+    tune(docs.sparkSession)
+    model = train(docs, labels, bound)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.string_buffers(batch.column(at))
+            scores = [model.scores(statistics(part, own)) for _, _, part, own in K.slices(data, offsets)]
+            yield batch.filter(pa.array(np.concatenate(scores) >= keep_from if scores else np.zeros(0, bool)))
+
+    return docs.mapInArrow(keep, docs.schema)

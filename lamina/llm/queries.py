@@ -21,6 +21,18 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.substrings import passages
+
+    return passages(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.packing import pack
 
@@ -46,5 +58,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op5_packing, op6_near_dedup, op8_quality_rules, op10_fingerprints)
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_quality_classifier,
+        op3_license_scan,
+        op4_substring_dedup,
+        op5_packing,
+        op6_near_dedup,
+        op8_quality_rules,
+        op10_fingerprints,
+    )
 }

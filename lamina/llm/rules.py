@@ -211,3 +211,24 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_from:
                 )
 
     return texts(docs).mapInArrow(score, "doc_id long, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, score double, kept boolean")
+
+
+def keep_passing(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` (all columns) that pass the base rules and the classifier."""
+    tune(docs.sparkSession)
+    model = train(docs, labels, bound)
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.string_buffers(batch.column(place))
+            verdicts = [np.zeros(0, bool)]
+            for i, j, part, own in K.slices(data, offsets):
+                base = base_counts(part, own)
+                n_words, repeats = base["n_words"], base["n_repeat_words"]
+                value = model.scores(margins(model.weights, grams(part, own, base["_hashes"], base["_rows"], n_words), j - i))
+                failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
+                verdicts.append(~failed & (value >= keep_from))
+            yield batch.filter(pa.array(np.concatenate(verdicts)))
+
+    return docs.mapInArrow(keep, docs.schema)
