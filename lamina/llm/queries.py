@@ -58,7 +58,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lamina.llm.html import extract
+    from lamina.llm.markup import extract
 
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
