@@ -1,5 +1,6 @@
 """Every catalogue query against its DuckDB counterpart on the smallest tables."""
 
+import numbers
 from pathlib import Path
 
 import duckdb
@@ -11,10 +12,18 @@ from lamina.plans.catalogue import ORACLE_SQL, QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
+def plain(value):
+    """One form for values that pandas types differently on both sides (nullable integers, numpy scalars)."""
+    if pd.isna(value):
+        return None
+    if isinstance(value, numbers.Number) and not isinstance(value, bool):
+        return round(float(value), 6)
+    return str(value)
+
+
 def canonical(frame):
     frame = frame[sorted(frame.columns)]
-    rows = [tuple(None if pd.isna(v) else (round(float(v), 6) if isinstance(v, (int, float)) else str(v)) for v in r) for r in frame.itertuples(index=False)]
-    return sorted(rows, key=repr)
+    return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=repr)
 
 
 @pytest.fixture(scope="module")
