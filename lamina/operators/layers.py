@@ -70,3 +70,40 @@ def unique_names(df: DataFrame, name: str, key: str) -> DataFrame:
     """``name, key`` of the names that stand for exactly one key; ambiguous names are left out."""
     once = df.groupBy(name).agg(F.min(key).alias(key), F.max(key).alias("_top"))
     return once.where(F.col(key) == F.col("_top")).drop("_top")
+
+
+def fold_entries(df: DataFrame, key: str, parent: str, entries: DataFrame, name: str, value: str, max_depth: int = 64) -> DataFrame:
+    """``key, name, value, depth``: every entry that a key holds or inherits; the nearest ancestor's entry wins.
+
+    ``entries`` has ``key, name, value``. The ancestors come from one recursive query over the keys alone; values join
+    after it, and the winner is a map-side ``min_by``.
+    """
+    spark = df.sparkSession
+    df.select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView("_lamina_tree")
+    above = spark.sql(f"""
+        WITH RECURSIVE up(k, a, depth) AS (
+            SELECT k, k, 0 FROM _lamina_tree
+            UNION ALL
+            SELECT u.k, n.p, u.depth + 1 FROM up u JOIN _lamina_tree n ON u.a = n.k
+            WHERE n.p IS NOT NULL AND u.depth < {max_depth})
+        SELECT k, a, depth FROM up""")
+    own = entries.select(F.col(key).alias("a"), name, value)
+    won = above.join(own, "a").groupBy(F.col("k").alias(key), name).agg(F.min_by(value, "depth").alias(value), F.min("depth").alias("depth"))
+    return won.select(key, name, value, "depth")
+
+
+def flag_cycles(df: DataFrame, key: str, parent: str, max_depth: int = 64) -> DataFrame:
+    """``key, steps, cyclic``: whether the parent chain from a key comes back to a node it has passed.
+
+    ``steps`` counts the parents followed; a parent that is null or no key of ``df`` ends a chain.
+    """
+    spark = df.sparkSession
+    df.select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView("_lamina_edges")
+    return spark.sql(f"""
+        WITH RECURSIVE walk(k, a, seen, steps, cyclic) AS (
+            SELECT k, k, concat('/', k, '/'), 0, false FROM _lamina_edges
+            UNION ALL
+            SELECT w.k, n.k, concat(w.seen, n.k, '/'), w.steps + 1, instr(w.seen, concat('/', n.k, '/')) > 0
+            FROM walk w JOIN _lamina_edges e ON w.a = e.k JOIN _lamina_edges n ON e.p = n.k
+            WHERE NOT w.cyclic AND w.steps < {max_depth})
+        SELECT k AS {key}, max(steps) AS steps, bool_or(cyclic) AS cyclic FROM walk GROUP BY k""")

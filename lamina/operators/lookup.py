@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions.text import stem
+
 
 def best_tier(hits: DataFrame, query: str, tier: str) -> DataFrame:
     """The hits of each query's lowest tier, by an aggregate and a join, so that a query with many hits is not sorted."""
@@ -35,3 +37,20 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, name:
     """Running sum of ``value`` within each key."""
     span = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.round(F.sum(value).over(span), 2))
+
+
+def exact_else_stem(names: DataFrame, known: DataFrame, name: str, other: str, found: str) -> DataFrame:
+    """``names`` with ``found``: the known row of the exact name, else of the name without its last ``_`` part, else null.
+
+    ``known`` has one row a name. Two equi-joins instead of one with OR, which would become a nested loop.
+    """
+    exact = known.select(F.col(other).alias("_e"), F.col(found).alias("_by_name"))
+    cut = known.select(F.col(other).alias("_s"), F.col(found).alias("_by_stem"))
+    joined = names.join(exact, F.col(name) == F.col("_e"), "left").join(cut, stem(F.col(name)) == F.col("_s"), "left")
+    return joined.withColumn(found, F.coalesce("_by_name", "_by_stem")).drop("_e", "_s", "_by_name", "_by_stem")
+
+
+def first_with_total(df: DataFrame, column: str, cap: int) -> DataFrame:
+    """The first ``cap`` values and, with each, how many there are in all; the count is one scalar, not a window."""
+    total = df.select(F.count(F.lit(1))).scalar()
+    return df.select(column).orderBy(column).limit(cap).withColumn("total", total)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamina.functions import text
 from lamina.operators import layers, lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,3 +203,91 @@ def q39_existence(spark, sf):
 def q40_incremental(spark, sf):
     new = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
     return layers.changed(new.where("doc_id % 3 <> 0"), new, "doc_id", "digest")
+
+
+@register("""with recursive up as (select p_partkey as k, p_partkey as a, 0 as depth from part union all select k, a // 2, depth + 1 from up where a > 1),
+ e as (select p_partkey as a, 'brand' as name, p_brand as value from part where p_partkey % 3 = 0 union all select p_partkey, 'type', p_type from part where p_partkey % 5 = 0 union all select p_partkey, 'name', p_name from part)
+ select k as p_partkey, name, arg_min(value, depth) as value, min(depth) as depth from up join e using (a) group by 1, 2""")
+def q09_map_fold(spark, sf):
+    part = table(spark, sf, "part")
+    tree = part.selectExpr("p_partkey", "case when p_partkey > 1 then p_partkey div 2 end as parent")
+    pairs = F.array(
+        F.when(F.col("p_partkey") % 3 == 0, F.struct(F.lit("brand").alias("name"), F.col("p_brand").alias("value"))),
+        F.when(F.col("p_partkey") % 5 == 0, F.struct(F.lit("type").alias("name"), F.col("p_type").alias("value"))),
+        F.struct(F.lit("name").alias("name"), F.col("p_name").alias("value")),
+    )
+    entries = part.select("p_partkey", F.inline(F.filter(pairs, lambda x: x.isNotNull())))
+    return layers.fold_entries(tree, "p_partkey", "parent", entries, "name", "value")
+
+
+@register("""with recursive e as (select c_custkey as k, case when c_custkey % 11 = 0 then null when c_custkey % 10 < 9 then c_custkey + 1 else c_custkey - 9 + c_custkey % 3 end as p from customer),
+ w as (select k, k as a, '/' || k || '/' as seen, 0 as steps, false as cyclic from e
+ union all select w.k, n.k, w.seen || n.k || '/', w.steps + 1, instr(w.seen, '/' || n.k || '/') > 0 from w join e on w.a = e.k join e n on e.p = n.k where not w.cyclic)
+ select k as c_custkey, max(steps) as steps, bool_or(cyclic) as cyclic from w group by 1""")
+def q10_cycle_guard(spark, sf):
+    parent = "case when c_custkey % 11 = 0 then null when c_custkey % 10 < 9 then c_custkey + 1 else c_custkey - 9 + c_custkey % 3 end as parent"
+    return layers.flag_cycles(table(spark, sf, "customer").selectExpr("c_custkey", parent), "c_custkey", "parent")
+
+
+@register("""with n as (select p_partkey, replace(p_name, ' ', '_') || case when p_partkey % 2 = 0 then '_' || p_size else '' end as name from part),
+ k as (select replace(p_name, ' ', '_') as known, min(p_partkey) as hit from part where p_size > 20 group by 1)
+ select p_partkey, name, coalesce(x.hit, y.hit) as hit from n left join k x on name = x.known left join k y on regexp_replace(name, '_[^_]*$', '') = y.known""")
+def q13_exact_else_stem(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_size", F.replace("p_name", F.lit(" "), F.lit("_")).alias("known"))
+    names = part.select("p_partkey", F.concat("known", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("_"), "p_size")).otherwise("")).alias("name"))
+    known = part.where("p_size > 20").groupBy("known").agg(F.min("p_partkey").alias("hit"))
+    return lookup.exact_else_stem(names, known, "name", "known", "hit")
+
+
+@register("select l_orderkey, len(list(distinct l_partkey)) as n_parts from lineitem group by 1 having list_contains(list(l_partkey), 77)")
+def q15_array_containment(spark, sf):
+    parts = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    return parts.where(F.exists("parts", lambda x: x == 77)).select("l_orderkey", F.size("parts").cast("long").alias("n_parts"))
+
+
+@register("""with h as (select page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) as found from pages)
+ select page_id, cast(i as bigint) as place, found[i] as href from h, lateral (select unnest(range(1, len(found) + 1)) as i)""")
+def q28_hrefs(spark, sf):
+    found = table(spark, sf, "pages").select("page_id", F.posexplode(text.hrefs(F.col("html"))).alias("i", "href"))
+    return found.select("page_id", (F.col("i") + 1).cast("long").alias("place"), "href")
+
+
+@register("""with s as (select p_partkey, case when p_partkey % 4 = 0 then p_name else p_name || ' ' || p_size end as s from part)
+ select p_partkey, case when regexp_matches(s, '^(.*) ([0-9]+)$') then regexp_extract(s, '^(.*) ([0-9]+)$', 1) else s end as stem, try_cast(regexp_extract(s, '^(.*) ([0-9]+)$', 2) as bigint) as number from s""")
+def q30_numbered_names(spark, sf):
+    given = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", "p_size"))
+    name, number = text.numbered(given)
+    return table(spark, sf, "part").select("p_partkey", name.alias("stem"), number.alias("number"))
+
+
+@register("select p_partkey, concat_ws(';', 'Brand=' || p_brand, case when p_size > 9 then 'Size=' || p_size end, 'Type=' || p_type) as row_text from part")
+def q31_export_row(spark, sf):
+    fields = (F.concat(F.lit("Brand="), "p_brand"), F.when(F.col("p_size") > 9, F.concat(F.lit("Size="), "p_size")), F.concat(F.lit("Type="), "p_type"))
+    return table(spark, sf, "part").select("p_partkey", F.concat_ws(";", *fields).alias("row_text"))
+
+
+@register("""with m as (select p_partkey, md5(cast(p_partkey as varchar)) as m, case p_partkey % 3 when 0 then '-' when 1 then 'g' else '' end as s from part),
+ i as (select p_partkey, case when s = 'g' then 'h' else '' end || substr(m, 1, 8) || s || substr(m, 9, 4) || s || substr(m, 13, 4) || s || substr(m, 17, 4) || s || substr(m, 21, 12) as id from m)
+ select p_partkey, id, case when regexp_full_match(id, '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}') then 'uuid' when regexp_full_match(id, 'h[0-9a-fA-F]{8}(g[0-9a-fA-F]{4}){3}g[0-9a-fA-F]{12}') then 'handle' else 'none' end as kind from i""")
+def q34_id_kinds(spark, sf):
+    mark = F.element_at(F.array(F.lit("-"), F.lit("g"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    made = table(spark, sf, "part").select("p_partkey", F.md5(F.col("p_partkey").cast("string")).alias("m"), mark.alias("s"))
+    parts = [F.substring("m", at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    ids = made.select("p_partkey", F.concat(F.when(F.col("s") == "g", "h").otherwise(""), parts[0], *[x for p in parts[1:] for x in (F.col("s"), p)]).alias("id"))
+    return ids.withColumn("kind", text.id_kind(F.col("id")))
+
+
+@register("with n as (select distinct p_name from part where contains(lower(p_name), 'ring')) select p_name, (select count(*) from n) as total from n order by 1 limit 10")
+def q35_first_with_total(spark, sf):
+    return lookup.first_with_total(table(spark, sf, "part").where(F.contains(F.lower("p_name"), F.lit("ring"))).select("p_name").distinct(), "p_name", 10)
+
+
+@register("""with t as (select page_id, regexp_extract_all(html, '</?[a-zA-Z][^<>]*>') as tags from pages),
+ u as (select page_id, i, tags[i] as tag from t, lateral (select unnest(range(1, len(tags) + 1)) as i)),
+ s as (select page_id, i, case when tag like '</%' then -1 when tag like '%/>' or lower(regexp_extract(tag, '^</?([a-zA-Z0-9]+)', 1)) in ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') then 0 else 1 end as step from u),
+ r as (select page_id, step, sum(step) over (partition by page_id order by i) as depth from s),
+ a as (select page_id, sum(step) as depth, min(depth) as lowest from r group by 1)
+ select page_id, cast(coalesce(depth, 0) as int) as depth, cast(least(coalesce(lowest, 0), 0) as int) as lowest from pages left join a using (page_id)""")
+def q36_block_balance(spark, sf):
+    balance = text.tag_balance(F.coalesce("html", F.lit("")))
+    return table(spark, sf, "pages").select("page_id", balance.alias("b")).select("page_id", "b.depth", "b.lowest")
