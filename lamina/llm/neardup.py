@@ -8,6 +8,12 @@ candidates. Sorting by the deep signature makes the depth adapt to the region:
 where many rows share a prefix, the nearest rows are those that share a longer
 one, and no group is ever expanded into all its pairs.
 
+Rows of a region larger than the reach are *crowded*. Their pairs beyond the
+reach are found exactly, by a prefix-filter join: two sets of similarity t
+share one of the first ``n - ceil(t * n) + 1`` shingles of each in any common
+order, here rarest first. It runs after the forest's links, and only on
+shingles that rows of different components share.
+
 Candidates are confirmed on full shingle sets recomputed from the texts, in two
 rounds: first the best partners of each class, then every candidate whose ends
 are still in different components. Candidates inside one component cannot
@@ -35,8 +41,10 @@ MIN_LEVELS = 3
 #: Rows looked at on either side in an order.
 REACH = 8
 HASHES = TREES * LEVELS
-#: Equal 2-bit minima of 96 below which a pair is 4 standard deviations under similarity 0.8.
-MIN_EQUAL = 68
+#: Equal 2-bit minima of 96 below which a pair is 5 standard deviations under similarity 0.8.
+MIN_EQUAL = 64
+#: Counters of shingle frequency for the common order; collisions change the order, not the result.
+COUNTERS = 1 << 18
 FIRST_PARTNERS = 2
 KEY = 1 + 2 * LEVELS
 SKETCH = HASHES // 4
@@ -103,7 +111,7 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _adjacent(key: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, fresh: int) -> list[np.ndarray]:
-    """Candidates among sorted rows whose later row is at or after ``fresh``: a, b, equal minima."""
+    """Candidates among sorted rows whose later row is at or after ``fresh``: a, b, equal minima; crowded rows as a = b."""
     found = []
     prefix = 1 + 2 * MIN_LEVELS
     for step in range(1, REACH + 1):
@@ -119,6 +127,13 @@ def _adjacent(key: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarra
         at, equal = at[equal >= MIN_EQUAL], equal[equal >= MIN_EQUAL]
         if len(at):
             found.append(np.stack((np.minimum(ids[at], ids[at - step]), np.maximum(ids[at], ids[at - step]), equal)))
+    step = REACH + 1
+    lo = max(0, fresh - step)
+    if len(ids) - step > lo:
+        later = np.arange(lo + step, len(ids))
+        at = later[(key[lo:-step, :prefix] == key[lo + step :, :prefix]).all(axis=1)]
+        crowded = np.unique(np.concatenate((ids[at], ids[at - step])))
+        found.append(np.stack((crowded, crowded, np.full(len(crowded), -1))))
     return found
 
 
@@ -150,8 +165,8 @@ def _scan(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordB
         rows = new if held is None else tuple(np.concatenate((h, x)) for h, x in zip(held, new))
         fresh = 0 if held is None else len(held[1])
         if head is None:
-            head = tuple(x[:REACH] for x in rows)
-        held = tuple(x[-REACH:] for x in rows)
+            head = tuple(x[: REACH + 1] for x in rows)
+        held = tuple(x[-REACH - 1 :] for x in rows)
         return _found(_adjacent(*rows, fresh))
 
     size = 0
@@ -169,13 +184,13 @@ def _scan(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordB
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs ``a < b`` with their equal minima, from rows near each other in any order."""
+    """Distinct candidate pairs ``a < b`` with their equal minima, from rows near each other in any order; crowded rows as ``a = b``."""
     spark = classes.sparkSession
     each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda i: F.substring(F.col("keys"), i * KEY + 1, F.lit(KEY))))
     rows = classes.select(each.alias("key"), "doc_id", F.col("n_shingles").alias("n"), "sketch")
     ordered = rows.repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id")
     raw = materialise(ordered.mapInArrow(lambda b: _scan(b, True), FOUND))
-    # the seams: first and last rows of each range, 16 a range, in one sorted run
+    # the seams: first and last rows of each range, 18 a range, in one sorted run
     seams = raw.where("b is null").select("key", F.col("a").alias("doc_id"), "n", "sketch").distinct()
     seam_pairs = seams.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(lambda b: _scan(b, False), FOUND)
     pairs = raw.where("b is not null").select("a", "b", "equal").union(seam_pairs.select("a", "b", "equal"))
@@ -207,6 +222,57 @@ def confirm(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFr
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        data, offsets = K.string_buffers(batch.column(1))
+        for _, _, part, own in K.slices(data, offsets):
+            for values in shingle_sets(part, own, k):
+                np.add.at(total, (values % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["slot", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set, as many as one of them must be shared at ``percent``."""
+    for batch in batches:
+        data, offsets = K.string_buffers(batch.column(1))
+        words = _fixed(batch.column(3), SKETCH).view(np.int64)
+        for i, _, part, own in K.slices(data, offsets):
+            chosen, at = [], []
+            for row, values in enumerate(shingle_sets(part, own, k), i):
+                n = len(values)
+                order = np.lexsort((values, often[(values % np.uint64(COUNTERS)).astype(np.int64)]))
+                chosen.append(values[order[: n + 1 - (percent * n + 99) // 100]].astype(np.int64))
+                at.append(np.full(len(chosen[-1]), row))
+            take = pa.array(np.concatenate(at))
+            own_words = [pa.array(words[np.concatenate(at), j]) for j in range(SKETCH // 8)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), batch.column(0).take(take), batch.column(2).take(take), batch.column(4).take(take), *own_words], names=["h", "id", "n", "comp", "s0", "s1", "s2"])
+
+
+def crowded_pairs(crowd: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of different components that can reach ``percent``: all of them, but for the sketch's error.
+
+    ``crowd`` has ``doc_id, text, n_shingles, sketch, comp``. The frequencies that reach the driver are ``COUNTERS`` numbers
+    at most, whatever the input.
+    """
+    counted = crowd.select("doc_id", "text").mapInArrow(lambda b: _frequencies(b, k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    posted = crowd.select("doc_id", "text", "n_shingles", "sketch", "comp")
+    postings = materialise(posted.mapInArrow(lambda b: _prefixes(b, k, percent, often), "h long, id long, n long, comp long, s0 long, s1 long, s2 long"))
+    mixed = postings.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+    shared = materialise(postings.join(mixed, "h", "left_semi"))
+    x, y = shared.alias("x"), shared.alias("y")
+    differing = F.lit(0)
+    for j in range(SKETCH // 8):
+        bits = F.col(f"x.s{j}").bitwiseXOR(F.col(f"y.s{j}"))
+        differing = differing + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.comp") != F.col("y.comp"))
+    close = (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & sizes & (differing <= HASHES - MIN_EQUAL)
+    return materialise(x.join(y, close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -222,7 +288,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = signed.where(own)
     classes = materialise(sets.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     chosen = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = candidates(chosen)
+    near = candidates(chosen)
+    pairs, crowd = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("doc_id"))
     keyed = source.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(signed) else source.where("doc_id is not null")
 
     sides = pairs.select(F.col("a").alias("d"), F.col("b").alias("o"), "equal").union(pairs.select("b", "a", "equal"))
@@ -236,6 +303,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     open_pairs = materialise(open_pairs.where("ca is null or cb is null or ca <> cb").select("a", "b"))
     if not open_pairs.isEmpty():
         more = materialise(confirm(open_pairs, keyed, k, percent))
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
+    if not crowd.isEmpty():
+        crowded = keyed.join(crowd, "doc_id").join(chosen.select("doc_id", "n_shingles", "sketch"), "doc_id").join(found, F.col("doc_id") == F.col("v"), "left")
+        beyond = crowded_pairs(crowded.withColumn("comp", F.coalesce("c", "doc_id")), k, percent)
+        more = materialise(confirm(beyond, keyed, k, percent))
         if not more.isEmpty():
             found = components(links.union(more))
     joined = signed.select("doc_id", "n_shingles", "set1", "set2").join(classes, ["set1", "set2", "n_shingles"], "left").join(found, F.col("rep") == F.col("v"), "left")
