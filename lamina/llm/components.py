@@ -30,3 +30,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after.where("c <> old").isEmpty():
             return labels
     raise RuntimeError("components did not settle; raise max_rounds")
+
+
+def extend(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels ``v, c`` after adding the edges ``more`` (``a``, ``b``) to a graph whose labels are ``found``.
+
+    Only the graph of the old components is spread, in which chains are short, not the whole one again.
+    """
+    at_a, at_b = (found.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    between = more.join(at_a, "a", "left").join(at_b, "b", "left")
+    merged = components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    renamed = merged.select(F.col("v").alias("old"), F.col("c").alias("new"))
+    known = found.join(renamed, F.col("c") == F.col("old"), "left").select("v", F.coalesce("new", "c").alias("c"))
+    return materialise(known.union(merged.join(found.select("v"), "v", "left_anti").select("v", "c")))

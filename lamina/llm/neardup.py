@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import kernels as K
 from lamina.llm.common import materialise, partitions, texts, tune
-from lamina.llm.components import components
+from lamina.llm.components import components, extend
 
 TREES = 16
 #: Levels of one order, each 16 bits of one MinHash value.
@@ -304,14 +304,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not open_pairs.isEmpty():
         more = materialise(confirm(open_pairs, keyed, k, percent))
         if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
+            found = extend(found, more)
     if not crowd.isEmpty():
         crowded = keyed.join(crowd, "doc_id").join(chosen.select("doc_id", "n_shingles", "sketch"), "doc_id").join(found, F.col("doc_id") == F.col("v"), "left")
         beyond = crowded_pairs(crowded.withColumn("comp", F.coalesce("c", "doc_id")), k, percent)
         more = materialise(confirm(beyond, keyed, k, percent))
         if not more.isEmpty():
-            found = components(links.union(more))
+            found = extend(found, more)
     joined = signed.select("doc_id", "n_shingles", "set1", "set2").join(classes, ["set1", "set2", "n_shingles"], "left").join(found, F.col("rep") == F.col("v"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lamina.llm import neardup
+from lamina.llm.components import components, extend
 
 
 def shingles(text, k):
@@ -55,3 +56,11 @@ def test_pairs_beyond_the_reach_are_found(spark, monkeypatch, seed):
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4, 80).collect()}
     assert seen
     assert got == brute(rows, 4, 80)
+
+
+def test_extended_components_equal_those_of_the_whole_graph(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    early, late = (spark.createDataFrame(x, "a long, b long") for x in (edges[:25], edges[25:]))
+    labels = lambda df: sorted((r.v, r.c) for r in df.collect())
+    assert labels(extend(components(early), late)) == labels(components(early.union(late)))
