@@ -1,7 +1,8 @@
 """HTML extraction by layout-aware rendering.
 
 A page is tokenised once; a stack of open elements with implied ends stands for
-the tree, and text is rendered as it is met. Elements that never show (scripts,
+the tree, and text is rendered as it is met. An open head ends at the first tag or
+text that cannot stand in it. Elements that never show (scripts,
 styles, ``hidden``, ``display:none``) swallow their text. Blocks start on a new
 line with blank lines between paragraphs, list items get a bullet or number and
 an indent by depth, preformatted text keeps its white space, and the cells of a
@@ -22,19 +23,23 @@ from lamina.llm.common import tune
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: A last slash that belongs to an unquoted value, so it does not close the element.
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*/\Z")
 INVISIBLE_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = frozenset("head script style template noscript title iframe object svg math select datalist audio video canvas".split())
+NEVER_SHOWN = frozenset("head script style template noscript title iframe object svg annotation annotation-xml datalist audio video canvas".split())
+FOREIGN = frozenset("svg math".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
-BLOCK = frozenset("address article aside body details dialog dd div dl dt fieldset figcaption figure footer form header hgroup html legend li main nav ol section summary table ul".split())
+BLOCK = frozenset("address article aside body details dialog dd div dl dt fieldset figcaption figure footer form header hgroup html legend li main nav ol optgroup option section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre hr".split())
-ENDS_PARAGRAPH = (BLOCK | SPACED) - {"html", "body"}
+ENDS_PARAGRAPH = (BLOCK | SPACED) - {"html", "body", "optgroup", "option"}
 #: An opening tag ends these open elements, up to the element that bounds the search.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 
 
@@ -78,12 +83,21 @@ class Renderer:
         self.pre = 0
 
     def write(self, text: str) -> None:
+        if self.hidden and self.stack[-1][0] == "head" and not text.isspace() and text:
+            self._pop()
         if self.hidden or not text:
             return
         shown = unescape(text) if "&" in text else text
         self.sheets[-1].raw(shown) if self.pre else self.sheets[-1].flow(shown)
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, attributes: str) -> bool:
+        """Open an element; whether it has content."""
+        if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self._pop()
+        if tag == "head" and any(t != "html" for t, _ in self.stack):
+            return False
+        if attributes.endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in self.stack)) and not UNQUOTED_END.search(attributes):
+            return False
         if tag in IMPLIED:
             self._imply(*IMPLIED[tag])
         elif tag in ENDS_PARAGRAPH and any(t == "p" for t, _ in self.stack):
@@ -92,7 +106,7 @@ class Renderer:
             if not self.hidden:
                 self.sheets[-1].breaks += not self.sheets[-1].empty
                 self.sheets[-1].space = False
-            return
+            return False
         hides = tag in NEVER_SHOWN or self._hides(attributes)
         if tag in VOID:
             if tag == "hr" and not self.hidden and not hides:
@@ -100,11 +114,11 @@ class Renderer:
             elif tag == "img" and not self.hidden and not hides:
                 alt = next((v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes) if k.lower() == "alt"), "")
                 self.write(alt)
-            return
+            return False
         self.stack.append((tag, hides))
         self.hidden += hides
         if self.hidden:
-            return
+            return True
         sheet = self.sheets[-1]
         if tag in SPACED:
             sheet.need(2)
@@ -124,6 +138,7 @@ class Renderer:
         elif tag in ("td", "th") and self.tables:
             self.sheets.append(Sheet())
         self.pre += tag == "pre"
+        return True
 
     def end(self, tag: str) -> None:
         if any(t == tag for t, _ in self.stack):
@@ -195,8 +210,7 @@ def render(html: str) -> str:
         if m.group(1):
             out.end(tag)
             continue
-        out.start(tag, m.group(3))
-        if tag in RAW:
+        if out.start(tag, m.group(3)) and tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
             out.write(html[at : close.start() if close else len(html)])
             at = close.end() if close else len(html)
