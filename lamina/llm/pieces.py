@@ -1,18 +1,19 @@
 """SentencePiece encoding, decoding and sampling without replacement.
 
 The best segmentation and decoding are the library's. Sampled segmentations come
-from the lattice of all vocabulary pieces of a text window: each complete path has
+from the lattice of all vocabulary pieces of the whole text: each complete path has
 the log-probability of its scaled piece scores, and a perturbed A-star search
 emits paths in the order of their Gumbel-perturbed log-probabilities. The maximum
 over a subtree is itself Gumbel with the subtree's mass, so bounds come from the
 backward sums and the first k emitted are a sample of k distinct segmentations
 without replacement. The (k+1)-th perturbed value is the threshold that gives each
-its inclusion score. Perturbations are seeded by the row key.
+its inclusion score. Perturbations are seeded by the row key. Edges are looked up
+where they are needed, so memory is a number and a path step a character.
 """
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import math
 import random
 from collections.abc import Callable, Iterator
@@ -29,9 +30,6 @@ from lamina.llm.tokens import tokenizer_path
 #: Longest piece tried, in characters.
 MAX_PIECE = 16
 TEMPERATURE = 0.1
-#: Characters of one lattice; a longer text is a row of lattices cut before word marks, sampled one after the other.
-WINDOW = 512
-MARK = "▁"
 
 
 @lru_cache(maxsize=2)
@@ -44,30 +42,49 @@ def load(path: str):
     return model, {model.id_to_piece(i): (i, model.get_score(i)) for i in usable}, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-def lattice(text: str, vocabulary: dict[str, tuple[int, float]], bytes_ids: list[int], theta: float) -> list[list[tuple[int, tuple[int, ...], float]]]:
-    """Edges leaving each character: end, ids, log weight. A character without a piece is its bytes."""
-    floor = min(-1.0, theta * -40.0)
-    out: list[list[tuple[int, tuple[int, ...], float]]] = []
-    for i in range(len(text)):
-        edges = []
-        for j in range(i + 1, min(len(text), i + MAX_PIECE) + 1):
-            hit = vocabulary.get(text[i:j])
-            if hit:
-                # BPE scores are merge ranks; their logarithm keeps rare pieces comparable
-                edges.append((j, (hit[0],), -theta * math.log2(2.0 - hit[1])))
-        if not edges or edges[0][0] != i + 1:
-            edges.append((i + 1, tuple(bytes_ids[b] for b in text[i].encode()), floor))
-        out.append(edges)
+Edge = tuple[int, tuple[int, ...], float]
+
+
+def weigh(vocabulary: dict[str, tuple[int, float]], theta: float) -> dict[str, tuple[tuple[int, ...], float] | None]:
+    """Ids and log weight of each piece, and None for each beginning of a piece that is none itself."""
+    out: dict[str, tuple[tuple[int, ...], float] | None] = {}
+    for piece, (number, score) in vocabulary.items():
+        if len(piece) <= MAX_PIECE:
+            for size in range(1, len(piece)):
+                out.setdefault(piece[:size], None)
+            # BPE scores are merge ranks; their logarithm keeps rare pieces comparable
+            out[piece] = ((number,), -theta * math.log2(2.0 - score))
     return out
 
 
-def backward(edges: list[list[tuple[int, tuple[int, ...], float]]]) -> list[float]:
+@lru_cache(maxsize=2)
+def weights(path: str, theta: float) -> dict[str, tuple[tuple[int, ...], float] | None]:
+    return weigh(load(path)[1], theta)
+
+
+def edges_from(text: str, i: int, pieces: dict[str, tuple[tuple[int, ...], float] | None], bytes_ids: list[int], theta: float) -> list[Edge]:
+    """Edges leaving a character: end, ids, log weight. A character without a piece is its bytes."""
+    edges: list[Edge] = []
+    for j in range(i + 1, min(len(text), i + MAX_PIECE) + 1):
+        hit = pieces.get(text[i:j], ())
+        if hit:
+            edges.append((j, *hit))
+        elif hit == ():
+            break
+    if not edges or edges[0][0] != i + 1:
+        edges.append((i + 1, tuple(bytes_ids[b] for b in text[i].encode()), min(-1.0, theta * -40.0)))
+    return edges
+
+
+def backward(n: int, edges: Callable[[int], list[Edge]]) -> np.ndarray:
     """Log mass of all completions from each place."""
-    mass = [0.0] * (len(edges) + 1)
-    for i in range(len(edges) - 1, -1, -1):
-        values = [w + mass[j] for j, _, w in edges[i]]
+    mass = np.zeros(n + 1)
+    length = MAX_PIECE + 1
+    near = [0.0] * length  # the masses of the places just behind, by place modulo the length
+    for i in range(n - 1, -1, -1):
+        values = [w + near[j % length] for j, _, w in edges(i)]
         top = max(values)
-        mass[i] = top + math.log(sum(math.exp(v - top) for v in values))
+        mass[i] = near[i % length] = top + math.log(sum(math.exp(v - top) for v in values)) if len(values) > 1 else top
     return mass
 
 
@@ -75,70 +92,56 @@ def gumbel(rng: random.Random) -> float:
     return -math.log(-math.log(rng.random() or 1e-300))
 
 
-def top_segmentations(edges: list, count: int, rng: random.Random) -> list[tuple[tuple[int, ...], float, float]]:
+def top_segmentations(n: int, edges: Callable[[int], list[Edge]], count: int, rng: random.Random) -> list[tuple[tuple[int, ...], float, float]]:
     """``count + 1`` distinct paths at most, by falling perturbed value: ids, log-probability, perturbed value.
 
     A node of the search is a prefix with its exact perturbed maximum; children share their parent's maximum by
     the truncated-Gumbel rule, so the best of them inherits it and the rest fall below. Paths are linked lists.
+    Each node stands for one path at least, so nodes below as many others as paths are still wanted are dropped.
     """
-    mass, n = backward(edges), len(edges)
-    heap, serial, out = [(-gumbel(rng), 0, 0, None, 0.0)], 1, []
-    while heap and len(out) <= count:
-        bound, _, at, path, weight = heapq.heappop(heap)
-        top = -bound
+    mass, serial, out = backward(n, edges), 1, []
+    whole = float(mass[0])
+    waiting = [(-gumbel(rng), 0, 0, None, 0.0)]  # by falling bound
+    while waiting and len(out) <= count:
+        bound, _, at, path, weight = waiting.pop(0)
+        top, wanted = -bound, count - len(out)
         while at < n:
-            # the child that inherits the maximum is followed at once, the others wait in the heap
-            noisy = [weight + w + mass[j] - mass[0] + gumbel(rng) for j, _, w in edges[at]]
+            # the child that inherits the maximum is followed at once, the others wait
+            leaving = edges(at)
+            noisy = [weight + w + float(mass[j]) - whole + gumbel(rng) for j, _, w in leaving]
             best = noisy.index(max(noisy)) if len(noisy) > 1 else 0
             for e, g in enumerate(noisy):
                 if e != best:
-                    j, piece, w = edges[at][e]
+                    j, piece, w = leaving[e]
                     v = top - g + math.log1p(-math.exp(min(g - noisy[best], -1e-12)))
                     held = top - max(v, 0.0) - math.log1p(math.exp(-abs(v)))
-                    heapq.heappush(heap, (-held, serial, j, (path, piece), weight + w))
+                    if wanted and (len(waiting) < wanted or -held < waiting[-1][0]):
+                        bisect.insort(waiting, (-held, serial, j, (path, piece), weight + w))
+                        del waiting[wanted:]
                     serial += 1
-            j, piece, w = edges[at][best]
+            j, piece, w = leaving[best]
             at, path, weight = j, (path, piece), weight + w
         steps = []
         while path is not None:
             path, piece = path
             steps.append(piece)
-        out.append((tuple(i for piece in reversed(steps) for i in piece), weight - mass[0], top))
+        out.append((tuple(i for piece in reversed(steps) for i in piece), weight - whole, top))
     return out
 
 
-def windows(text: str) -> list[str]:
-    """Runs of whole words of about ``WINDOW`` characters (a longer word is cut)."""
-    out, at = [], 0
-    while len(text) - at > WINDOW:
-        cut = text.rfind(MARK, at + 1, at + WINDOW)
-        cut = cut if cut > at else at + WINDOW
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]] if at < len(text) else out
-
-
 def sample(text: str, key: int, count: int, path: str, theta: float = TEMPERATURE) -> list[tuple[list[int], float, float]]:
-    """``count`` segmentations of a whole text at most: ids, log-probability, inclusion score.
+    """``count`` distinct segmentations of a whole text at most: ids, log-probability, inclusion score.
 
-    A text of one window has distinct segmentations. For a longer text the r-th segmentations of its windows are
-    joined; a window with fewer repeats its last, and the text's first window with ``count`` keeps them distinct.
+    The search runs over the lattice of the whole text, whatever its length.
     """
-    model, vocabulary, bytes_ids = load(path)
-    normal = model.normalize(text)
-    rng = random.Random(int(K.splitmix(np.array([key & (2**64 - 1)], np.uint64))[0]))
-    parts = []
-    for window in windows(normal):
-        found = top_segmentations(lattice(window, vocabulary, bytes_ids, theta), count, rng)
-        threshold = found[count][2] if len(found) > count else -np.inf
-        parts.append([(ids, logp, float(-np.expm1(-np.exp(min(logp - threshold, 50.0))))) for ids, logp, _ in found[:count]])
-    if not parts:
+    model, _, bytes_ids = load(path)
+    normal, pieces = model.normalize(text), weights(path, theta)
+    if not normal:
         return [([], 0.0, 1.0)]
-    out = []
-    for r in range(max(map(len, parts))):
-        chosen = [p[min(r, len(p) - 1)] for p in parts]
-        out.append(([i for c in chosen for i in c[0]], float(sum(c[1] for c in chosen)), float(np.prod([c[2] for c in chosen]))))
-    return out
+    rng = random.Random(int(K.splitmix(np.array([key & (2**64 - 1)], np.uint64))[0]))
+    found = top_segmentations(len(normal), lambda i: edges_from(normal, i, pieces, bytes_ids, theta), count, rng)
+    threshold = found[count][2] if len(found) > count else -math.inf
+    return [(list(ids), logp, -math.expm1(-math.exp(min(logp - threshold, 50.0)))) for ids, logp, _ in found[:count]]
 
 
 PIECES = "doc_id long, rank int, ids array<int>, logp double, inclusion double, decoded string"
