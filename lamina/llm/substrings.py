@@ -2,16 +2,18 @@
 
 A gear rolling hash over the last 16 bytes decides at every word start whether a
 chunk begins there, so the borders depend on the words around them alone and
-come back in step a few words after an insertion. Chunks are compared by their
-digest; the first holder (least key, then place) keeps a chunk, and runs of
-consecutive repeated chunks of at least ``MIN_RUN`` bytes are cut from all the
-others. A chunk is about four words, so short stock phrases repeat by chance,
-but a run of that length does not.
+come back in step a few words after an insertion. A chunk is about four words,
+and short stock phrases repeat by chance, so no chunk is compared by itself:
+windows of whole chunks of at least ``MIN_RUN`` bytes are, the shortest from each
+chunk on and the shortest up to each. The first holder of a window (least key,
+then place) keeps it, and it is cut from all others. Every byte cut is so part of
+a copy of that length of one earlier place, and every run of chunks of that length
+that follows one earlier place is covered by its windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,11 @@ from lamina.llm.common import materialise, texts, tune
 GEAR = (K.stream(61, 256) & np.uint64(0xFFFF)).astype(np.uint16)
 #: A word start is a border when the top bits of the gear hash before it are 0: one in four.
 BORDER_BITS = 2
-#: Bytes of consecutive repeated chunks that make a passage.
+#: Bytes that one earlier place must hold in a row to make a passage.
 MIN_RUN = 100
-#: Digests with more than 1/HOT_SHARE of all chunks are joined by broadcast; there are fewer than HOT_SHARE of them.
+#: Digests with more than 1/HOT_SHARE of all repeated windows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 4096
-CHUNKS = "doc_id long, key long, at int, size int, digest long"
+WINDOWS = "doc_id long, key long, at int, size int, digest long"
 
 
 def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -52,44 +54,63 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, keys = batch.column(0), batch.column(2)
-        data, offsets = K.string_buffers(batch.column(1))
-        for i, j, part, own in K.slices(data, offsets):
-            starts = borders(part, own)
-            ends = np.append(starts[1:], len(part))[: len(starts)]
-            rows = np.searchsorted(own, starts, "right") - 1
-            digest = K.span_hashes(part, starts, ends).view(np.int64)
-            at, take = (starts - own[rows]).astype(np.int32), pa.array(i + rows)
-            yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(at), pa.array((ends - starts).astype(np.int32)), pa.array(digest)], names=["doc_id", "key", "at", "size", "digest"])
+def windows(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunk of the shortest windows of ``least`` bytes from each chunk on and up to each, none twice."""
+    chunk = np.arange(len(starts))
+    last = np.searchsorted(ends, starts + least)
+    known = last < len(ends)
+    known[known] = rows[last[known]] == rows[known]
+    first = np.searchsorted(starts, ends - least, "right") - 1
+    other = first >= 0
+    other[other] = (rows[first[other]] == rows[other]) & (last[first[other]] != chunk[other])
+    return np.concatenate((chunk[known], first[other])), np.concatenate((last[known], chunk[other]))
+
+
+def _windows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = batch.column(0), batch.column(2)
+            data, offsets = K.string_buffers(batch.column(1))
+            for i, j, part, own in K.slices(data, offsets):
+                starts = borders(part, own)
+                ends = np.append(starts[1:], len(part))[: len(starts)]
+                rows = np.searchsorted(own, starts, "right") - 1
+                first, last = windows(starts, ends, rows, least)
+                starts, ends, rows = starts[first], ends[last], rows[first]
+                digest = K.span_hashes(part, starts, ends).view(np.int64)
+                at, take = (starts - own[rows]).astype(np.int32), pa.array(i + rows)
+                yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(at), pa.array((ends - starts).astype(np.int32)), pa.array(digest)], names=["doc_id", "key", "at", "size", "digest"])
+
+    return run
 
 
 def repeated_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """Passages that an earlier place already holds: ``doc_id, key, start, length, first_doc_id`` (bytes).
 
     ``key`` is the hash of the text, so rows that repeat a key with other texts stay apart; rows that repeat both
-    are one document. A null text has no passages. A null key counts as larger than all others.
+    are one document. A null text has no passages. A null key counts as larger than all others. A passage joins
+    windows that touch; ``first_doc_id`` is the least of the documents that hold a window of it first.
     """
     spark = docs.sparkSession
     tune(spark)
     source = texts(docs).withColumn("key", F.xxhash64("text"))
-    chunks = materialise(source.mapInArrow(_chunk, CHUNKS))
+    # made anew for each pass: a table of them would take more disk than their making takes time
+    held = source.mapInArrow(_windows(max(min_run, 1)), WINDOWS)
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "key", "at")
-    first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = held.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = materialise(first)
-    total = chunks.count()
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = first.where(F.col("n") > total / HOT_SHARE)
     rest = first.where(F.col("n") <= total / HOT_SHARE)
-    at_hot = chunks.join(F.broadcast(hot), "digest")
-    at_rest = chunks.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest")
+    at_hot = held.join(F.broadcast(hot), "digest")
+    at_rest = held.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest")
     later = at_hot.unionByName(at_rest).where(place > F.col("first"))
-    later = later.select("doc_id", "key", "at", "size", F.col("first.d").alias("from")).distinct()
-    own = Window.partitionBy("doc_id", "key").orderBy("at")
-    opens = F.when(F.lag(F.col("at") + F.col("size")).over(own) == F.col("at"), 0).otherwise(1)
-    runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(own))
-    spans = runs.groupBy("doc_id", "key", "run").agg(F.min("at").alias("start"), F.sum("size").cast("int").alias("length"), F.min("from").alias("first_doc_id"))
-    return spans.where(F.col("length") >= min_run).drop("run")
+    later = later.select("doc_id", "key", "at", (F.col("at") + F.col("size")).alias("end"), F.col("first.d").alias("from")).distinct()
+    own = Window.partitionBy("doc_id", "key").orderBy("at", "end", "from").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.when(F.col("at") <= F.max("end").over(own), 0).otherwise(1)
+    runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("doc_id", "key", "run").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.min("from").alias("first_doc_id"))
+    return spans.select("doc_id", "key", "start", (F.col("end") - F.col("start")).alias("length"), "first_doc_id")
 
 
 def _sliced(docs: DataFrame, spans: DataFrame) -> DataFrame:
