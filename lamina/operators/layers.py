@@ -3,13 +3,20 @@
 All operators take any DataFrame with explicit order columns, since Spark rows have no order of their own.
 Winners come from ``max_by`` over the order columns, so they are combined on the map side: a hot key shuffles
 one row a task, and no key's rows are gathered or sorted.
+
+Parent chains are followed to their ends, however deep: each round joins the steps found so far to themselves
+and so doubles their length, and writes the outcome as a table, so a plan stays as small as one round.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FALLBACK_TABLES = "/tmp/checkpoints"
+
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that comes last in ``order``; keys may be null. Columns keep their names and order."""
@@ -46,24 +53,47 @@ def changed(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return new.join(before, (F.col(key) == F.col("_k")) & F.col(digest).eqNullSafe(F.col("_d")), "left_anti")
 
 
-def resolve_chain(df: DataFrame, key: str, parent: str, value: str, max_depth: int = 64) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the folder that driver and executors share."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_TABLES).rstrip('/')}/lamina-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _nodes(df: DataFrame, key: str, parent: str, *more: Column) -> tuple[DataFrame, int]:
+    """``k, p`` and more, written, and the number of distinct keys. A parent that is no key becomes null."""
+    rows = _written(df.select(F.col(key).alias("k"), F.col(parent).alias("p"), *more))
+    keys = rows.where("k IS NOT NULL").select(F.col("k").alias("_k")).distinct()
+    known = rows.join(keys, F.col("p") == F.col("_k"), "left")
+    return _written(known.withColumn("p", F.col("_k")).drop("_k")), keys.count()
+
+
+def _nearest(rows: DataFrame, keys: int) -> DataFrame:
+    """``k, v, depth`` (one row a path) of ``k, p, v``: the nearest value along the parents and the steps to it.
+
+    After a round every row has looked at twice as many nodes; those still open once that is all keys are in a cycle.
+    """
+    state = _written(rows.select("k", F.when(F.col("v").isNull(), F.col("p")).alias("a"), "v", F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("seen")))
+    reach = 1
+    while reach < keys and not state.where("a IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("k").alias("_k"), F.col("a").alias("_a"), F.col("v").alias("_v"), F.col("depth").alias("_depth"), F.col("seen").alias("_seen"))
+        moved = state.where("a IS NOT NULL").join(ahead, F.col("a") == F.col("_k"))
+        moved = moved.select("k", F.col("_a").alias("a"), F.col("_v").alias("v"), (F.col("seen") + F.col("_depth")).alias("depth"), (F.col("seen") + F.col("_seen")).alias("seen"))
+        state = _written(state.where("a IS NULL").unionByName(moved).distinct())
+        reach *= 2
+    return state.select("k", "v", "depth")
+
+
+def resolve_chain(df: DataFrame, key: str, parent: str, value: str) -> DataFrame:
     """``key, value, depth``: the nearest value that is not null along the parent chain, and the steps to it.
 
-    A chain that ends without a value gives null and a null depth; a cycle ends at ``max_depth``. Each step moves
-    only the rows still unresolved by one equi-join, and the loop runs in the plan of one recursive query.
+    A chain that ends without a value, or is a cycle without one, gives null and a null depth.
     """
-    spark = df.sparkSession
-    nodes = df.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(value).alias("v"))
-    nodes.createOrReplaceTempView("_lamina_chain")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(k, p, v, depth) AS (
-            SELECT k, p, v, 0 FROM _lamina_chain
-            UNION ALL
-            SELECT w.k, n.p, n.v, w.depth + 1 FROM walk w JOIN _lamina_chain n ON w.p = n.k
-            WHERE w.v IS NULL AND w.depth < {max_depth})
-        SELECT k AS {key}, min_by(v, depth) FILTER (WHERE v IS NOT NULL) AS {value},
-               min(depth) FILTER (WHERE v IS NOT NULL) AS depth
-        FROM walk GROUP BY k""")
+    rows, keys = _nodes(df, key, parent, F.col(value).alias("v"))
+    found = F.col("v").isNotNull()
+    won = _nearest(rows, keys).groupBy("k").agg(F.min_by("v", F.when(found, F.col("depth"))).alias(value), F.min(F.when(found, F.col("depth"))).cast("int").alias("depth"))
+    return won.select(F.col("k").alias(key), value, "depth")
 
 
 def unique_names(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -72,38 +102,44 @@ def unique_names(df: DataFrame, name: str, key: str) -> DataFrame:
     return once.where(F.col(key) == F.col("_top")).drop("_top")
 
 
-def fold_entries(df: DataFrame, key: str, parent: str, entries: DataFrame, name: str, value: str, max_depth: int = 64) -> DataFrame:
+def fold_entries(df: DataFrame, key: str, parent: str, entries: DataFrame, name: str, value: str) -> DataFrame:
     """``key, name, value, depth``: every entry that a key holds or inherits; the nearest ancestor's entry wins.
 
-    ``entries`` has ``key, name, value``. The ancestors come from one recursive query over the keys alone; values join
-    after it, and the winner is a map-side ``min_by``.
+    ``entries`` has ``key, name, value``. After a round each key holds the entries of twice as many nodes, and of each
+    name only the nearest, so what is written stays below the outcome in size.
     """
-    spark = df.sparkSession
-    df.select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView("_lamina_tree")
-    above = spark.sql(f"""
-        WITH RECURSIVE up(k, a, depth) AS (
-            SELECT k, k, 0 FROM _lamina_tree
-            UNION ALL
-            SELECT u.k, n.p, u.depth + 1 FROM up u JOIN _lamina_tree n ON u.a = n.k
-            WHERE n.p IS NOT NULL AND u.depth < {max_depth})
-        SELECT k, a, depth FROM up""")
-    own = entries.select(F.col(key).alias("a"), name, value)
-    won = above.join(own, "a").groupBy(F.col("k").alias(key), name).agg(F.min_by(value, "depth").alias(value), F.min("depth").alias("depth"))
-    return won.select(key, name, value, "depth")
-
-
-def flag_cycles(df: DataFrame, key: str, parent: str, max_depth: int = 64) -> DataFrame:
+    rows, keys = _nodes(df, key, parent)
+    own = entries.select(F.col(key).alias("k"), F.col(name).alias("n"), F.col(value).alias("v"), F.lit(0).alias("depth"))
+    held = _written(own.join(rows.select("k").distinct(), "k", "left_semi"))
+    hops, reach = rows.where("k IS NOT NULL AND p IS NOT NULL").distinct(), 1
+    while reach < keys and not hops.isEmpty():
+        above = hops.join(held.withColumnRenamed("k", "p"), "p").select("k", "n", "v", (F.col("depth") + reach).alias("depth"))
+        held = _written(held.unionByName(above).groupBy("k", "n").agg(F.min_by("v", "depth").alias("v"), F.min("depth").alias("depth")))
+        hops = _written(hops.join(hops.select(F.col("k").alias("p"), F.col("p").alias("_p")), "p").select("k", F.col("_p").alias("p")).distinct())
+        reach *= 2
+    won = held.groupBy("k", "n").agg(F.min_by("v", "depth").alias("v"), F.min("depth").alias("depth"))
+    return won.select(F.col("k").alias(key), F.col("n").alias(name), F.col("v").alias(value), "depth")
+
+
+def flag_cycles(df: DataFrame, key: str, parent: str) -> DataFrame:
     """``key, steps, cyclic``: whether the parent chain from a key comes back to a node it has passed.
 
-    ``steps`` counts the parents followed; a parent that is null or no key of ``df`` ends a chain.
+    ``steps`` counts the parents followed; a parent that is null or no key of ``df`` ends a chain. A key has one parent.
     """
-    spark = df.sparkSession
-    df.select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView("_lamina_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(k, a, seen, steps, cyclic) AS (
-            SELECT k, k, concat('/', k, '/'), 0, false FROM _lamina_edges
-            UNION ALL
-            SELECT w.k, n.k, concat(w.seen, n.k, '/'), w.steps + 1, instr(w.seen, concat('/', n.k, '/')) > 0
-            FROM walk w JOIN _lamina_edges e ON w.a = e.k JOIN _lamina_edges n ON e.p = n.k
-            WHERE NOT w.cyclic AND w.steps < {max_depth})
-        SELECT k AS {key}, max(steps) AS steps, bool_or(cyclic) AS cyclic FROM walk GROUP BY k""")
+    rows, keys = _nodes(df, key, parent)
+    if rows.where("k IS NOT NULL").groupBy("k").agg(F.count_distinct(F.struct("p")).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("flag_cycles: a key has several parents")
+    rows = rows.distinct()
+    state, reach = _written(rows.select("k", F.col("p").alias("a"), F.col("p").isNotNull().cast("long").alias("steps"), F.col("k").alias("least"))), 1
+    while reach < keys and not state.where("a IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("k").alias("_k"), F.col("a").alias("_a"), F.col("steps").alias("_steps"), F.col("least").alias("_least"))
+        moved = state.where("a IS NOT NULL").join(ahead, F.col("a") == F.col("_k"))
+        moved = moved.select("k", F.col("_a").alias("a"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("least", "_least").alias("least"))
+        state = _written(state.where("a IS NULL").unionByName(moved))
+        reach *= 2
+    # as many steps as there are keys end on a cycle, and all of a cycle's nodes are reached so
+    ring = state.where("a IS NOT NULL").select(F.col("a").alias("k")).distinct().join(state.select("k", "least"), "k")
+    around = ring.join(ring.groupBy("least").agg(F.count(F.lit(1)).alias("v")), "least").select("k", "v")
+    tails = _nearest(_written(rows.join(around, "k", "left")), keys).where("v IS NOT NULL").select("k", (F.col("depth") + F.col("v")).alias("_round"))
+    steps = F.coalesce("_round", "steps").cast("int")
+    return state.join(tails, "k", "left").groupBy("k").agg(F.max(steps).alias("steps"), F.bool_or(F.col("a").isNotNull()).alias("cyclic")).select(F.col("k").alias(key), "steps", "cyclic")
