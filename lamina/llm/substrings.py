@@ -2,7 +2,9 @@
 
 A gear rolling hash over the last 16 bytes decides at every word start whether a
 chunk begins there, so the borders depend on the words around them alone and
-come back in step a few words after an insertion. A chunk is about four words,
+come back in step a few words after an insertion. Where no ASCII white space is
+near, any character may begin a chunk, and no chunk is longer than ``LONGEST``,
+so texts without such spaces have chunks too. A chunk is about four words,
 and short stock phrases repeat by chance, so no chunk is compared by itself:
 windows of whole chunks of at least ``MIN_RUN`` bytes are, the shortest from each
 chunk on and the shortest up to each. The first holder of a window (least key,
@@ -26,6 +28,10 @@ from lamina.llm.common import materialise, texts, tune
 GEAR = (K.stream(61, 256) & np.uint64(0xFFFF)).astype(np.uint16)
 #: A word start is a border when the top bits of the gear hash before it are 0: one in four.
 BORDER_BITS = 2
+#: Without ASCII white space in the last FAR bytes, a character is a border when so many top bits are 0: one in eight.
+FAR, FAR_BITS = 32, 3
+#: Bytes after which a chunk ends at the next character, border or not.
+LONGEST = 512
 #: Bytes that one earlier place must hold in a row to make a passage.
 MIN_RUN = 100
 #: Digests with more than 1/HOT_SHARE of all repeated windows are joined by broadcast; there are fewer than HOT_SHARE of them.
@@ -34,7 +40,7 @@ WINDOWS = "doc_id long, key long, at int, size int, digest long"
 
 
 def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Chunk starts of a slice, each row's start included; every start is at a word's first byte or the row's."""
+    """Chunk starts of a slice, each row's start included; every start is at a character's first byte."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -47,10 +53,26 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     space = K.SPACE[data]
     chosen[1:] = space[:-1] & ~space[1:] & (h[:-1] >> np.uint16(16 - BORDER_BITS) == 0)
     starts = offsets[:-1]
+    lead = (data & 0xC0) != 0x80
+    spaces = np.zeros(n + 1, np.int32)
+    np.cumsum(space, out=spaces[1:])
+    far = np.zeros(n, bool)
+    if n > FAR:
+        far[FAR:] = (spaces[FAR:n] == spaces[: n - FAR]) & lead[FAR:] & (h[FAR - 1 : -1] >> np.uint16(16 - FAR_BITS) == 0)
+        early = (starts[:, None] + np.arange(1, FAR)).ravel()
+        far[early[early < n]] = False
     # hashes that reach back over a row's start would depend on the row before it
     early = (starts[:, None] + np.arange(1, 16)).ravel()
     chosen[early[early < n]] = False
+    chosen |= far
     chosen[starts[starts < offsets[1:]]] = True
+    found = np.flatnonzero(chosen)
+    ends = np.append(found[1:], n)
+    for i in np.flatnonzero(ends - found > LONGEST):
+        cuts = np.arange(found[i] + LONGEST, ends[i], LONGEST)
+        for _ in range(3):
+            cuts = cuts + ~lead[np.minimum(cuts, n - 1)]
+        chosen[cuts[cuts < ends[i]]] = True
     return np.flatnonzero(chosen)
 
 
