@@ -4,25 +4,34 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.session import ship
 
-#: Rows of one Arrow batch. Long texts make rows large, so batches stay short.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch at most. Long texts make rows large, so batches stay short.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints"
+#: Bits of a membership filter: 4 MB, whatever the input.
+FILTER_BITS = 25
 
 
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for very long texts, and send the package to the executors."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINTS
+    """The folder that driver and executors share; a local default only on a local master, where there is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return FALLBACK_CHECKPOINTS
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -30,7 +39,47 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lamina-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._lamina_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "_lamina_path", None):
+            jvm = table.sparkSession.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that no column of ``docs`` has, without regard to case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slot(key: Column) -> Column:
+    """The bit of a membership filter that stands for a key."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
+
+
+def membership(keys: DataFrame, name: str) -> np.ndarray:
+    """A filter of fixed size over the keys of a column: 64-bit words with the bit of each key's ``slot`` set.
+
+    Rows that it lets pass need not hold a key: it spares shuffling rows before a join and does not replace the join.
+    """
+    at = slot(F.col(name))
+    bit = F.expr("shiftleft(1L, cast(_at & 63 as int))")
+    words = keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

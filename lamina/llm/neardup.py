@@ -2,22 +2,21 @@
 
 Texts with equal shingle sets collapse into one class first (an aggregation, so
 thousands of copies cost one row each). Every class has 16 signature orders; the
-table of all (order, signature) rows is range-sorted, and the rows next to each
-other in an order, as far as their common prefix is long enough, become
-candidates. Sorting by the deep signature makes the depth adapt to the region:
-where many rows share a prefix, the nearest rows are those that share a longer
-one, and no group is ever expanded into all its pairs.
-
-Rows of a region larger than the reach are *crowded*. Their pairs beyond the
-reach are found exactly, by a prefix-filter join: two sets of similarity t
-share one of the first ``n - ceil(t * n) + 1`` shingles of each in any common
-order, here rarest first. It runs after the forest's links, and only on
-shingles that rows of different components share.
-
-Candidates are confirmed on full shingle sets recomputed from the texts, in two
-rounds: first the best partners of each class, then every candidate whose ends
-are still in different components. Candidates inside one component cannot
-change the result and are not verified.
+table of all (order, signature) rows is range-sorted, and rows with an equal
+prefix of three minima form a *run*.
+
+Groups are united first: each row is paired with the first row of its run, or
+the row before it, and each document's best and least partner are confirmed.
+Then only runs in which several components are left go on, and only pairs of
+different components are looked at, so no group is expanded into its pairs.
+In a short run all such pairs are candidates. A run longer than the reach is
+*crowded*: its nearest neighbours by longest common prefix are candidates, and
+its rows go one level deeper, into four runs of the same rows that share four
+minima more. So the depth adapts to the region: a pair at the threshold meets in
+a deeper run with probability 0.88 a level, rows that are less alike thin out.
+Runs that are still crowded at the last level are compared pair by pair.
+
+Candidates are confirmed on full shingle sets recomputed from the texts.
 """
 
 from __future__ import annotations
@@ -26,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import kernels as K
-from lamina.llm.common import materialise, partitions, texts, tune
+from lamina.llm.common import fresh, materialise, membership, partitions, release, slot, texts, tune
 from lamina.llm.components import components, extend
 
 TREES = 16
@@ -43,9 +42,14 @@ REACH = 8
 HASHES = TREES * LEVELS
 #: Equal 2-bit minima of 96 below which a pair is 5 standard deviations under similarity 0.8.
 MIN_EQUAL = 64
-#: Counters of shingle frequency for the common order; collisions change the order, not the result.
-COUNTERS = 1 << 18
-FIRST_PARTNERS = 2
+#: Times that groups are united by one pair a row before all candidates are looked at.
+LEAD_ROUNDS = 2
+#: Runs that a crowded run splits into, minima that each shares beyond it, and minima that sort within.
+BRANCHES, DEEPER, FURTHER = 4, 4, 3
+CHILD_PREFIX = 8 + 2 * DEEPER
+CHILD_KEY = CHILD_PREFIX + 2 * FURTHER
+#: The level that is compared pair by pair; rows of one of its runs share 15 minima.
+MAX_LEVEL = 3
 KEY = 1 + 2 * LEVELS
 SKETCH = HASHES // 4
 _SEED = K.stream(41, HASHES).astype(np.uint32)
@@ -103,107 +107,229 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 SIGNED = "doc_id long, n_shingles long, set1 long, set2 long, keys binary, sketch binary"
-FOUND = "a long, b long, equal int, key binary, n long, sketch binary"
+FOUND = "kind int, a long, b long, equal int, key binary, n long, sketch binary, c long"
+PAIR, ROW, EDGE = 0, 1, 2
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _adjacent(key: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, fresh: int) -> list[np.ndarray]:
-    """Candidates among sorted rows whose later row is at or after ``fresh``: a, b, equal minima; crowded rows as a = b."""
-    found = []
-    prefix = 1 + 2 * MIN_LEVELS
-    for step in range(1, REACH + 1):
-        lo = max(0, fresh - step)
-        if len(ids) - step <= lo:
-            continue
-        later = np.arange(lo + step, len(ids))
-        at = later[(key[lo:-step, :prefix] == key[lo + step :, :prefix]).all(axis=1)]
-        small, large = np.minimum(n[at], n[at - step]), np.maximum(n[at], n[at - step])
-        at = at[(5 * small >= 4 * large) & (ids[at] != ids[at - step])]
-        x = sketch[at] ^ sketch[at - step]
-        equal = HASHES - _PAIRS_SET[(x | x >> 1) & 0x55].sum(axis=1, dtype=np.int64)
-        at, equal = at[equal >= MIN_EQUAL], equal[equal >= MIN_EQUAL]
-        if len(at):
-            found.append(np.stack((np.minimum(ids[at], ids[at - step]), np.maximum(ids[at], ids[at - step]), equal)))
-    step = REACH + 1
-    lo = max(0, fresh - step)
-    if len(ids) - step > lo:
-        later = np.arange(lo + step, len(ids))
-        at = later[(key[lo:-step, :prefix] == key[lo + step :, :prefix]).all(axis=1)]
-        crowded = np.unique(np.concatenate((ids[at], ids[at - step])))
-        found.append(np.stack((crowded, crowded, np.full(len(crowded), -1))))
-    return found
-
-
-def _found(pairs: list[np.ndarray], edge: tuple | None = None) -> pa.RecordBatch:
+def _alike(rows: Rows, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the row pairs (x, y) are of different components and can reach the similarity, and their equal minima."""
+    _, ids, n, sketch, c = rows
+    small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    differ = sketch[x] ^ sketch[y]
+    equal = HASHES - _PAIRS_SET[(differ | differ >> 1) & 0x55].sum(axis=1, dtype=np.int64)
+    return (5 * small >= 4 * large) & (ids[x] != ids[y]) & (c[x] != c[y]) & (equal >= MIN_EQUAL), equal
+
+
+def _pairs(rows: Rows, x: np.ndarray, y: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    ids = rows[1]
+    return np.stack((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), equal))
+
+
+def _found(pairs: list[np.ndarray], rows: Rows | None = None, kind: int = ROW) -> pa.RecordBatch:
     p = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
-    m = p.shape[1]
-    a, b, equal = list(p[0]), list(p[1]), list(p[2])
-    key, n, sketch = [None] * m, [None] * m, [None] * m
-    if edge is not None:
-        for k, i, size, s in zip(*edge):
-            a.append(i), b.append(None), equal.append(None), key.append(k.tobytes()), n.append(size), sketch.append(s.tobytes())
+    m, r = p.shape[1], 0 if rows is None else len(rows[1])
+    blank = [None] * m
+    long = lambda own, more: pa.array([*own, *more], pa.int64())
+    key, ids, n, sketch, c = rows or ((), (), (), (), ())
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(equal, pa.int32()), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())],
-        names=["a", "b", "equal", "key", "n", "sketch"],
-    )
+        [
+            pa.array([PAIR] * m + [kind] * r, pa.int32()), long(p[0].tolist(), ids), long(p[1].tolist(), [None] * r), pa.array([*p[2].tolist(), *[None] * r], pa.int32()),
+            pa.array([*blank, *(k.tobytes() for k in key)], pa.binary()), long(blank, n), pa.array([*blank, *(s.tobytes() for s in sketch)], pa.binary()), long(blank, c),
+        ],
+        names=[x.split()[0] for x in FOUND.split(", ")],
+    )
 
 
-def _scan(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
-    """Candidates of one sorted range; with ``edges`` also its first and last rows, for the seams between ranges."""
-    held: tuple | None = None
-    head: tuple | None = None
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Rows]:
+    """Sorted rows in blocks of some 16,000: key, id, size, sketch, component."""
     waiting: list[pa.RecordBatch] = []
 
-    def flush() -> pa.RecordBatch:
-        nonlocal held, head
+    def rows() -> Rows:
         table = pa.Table.from_batches(waiting)
         waiting.clear()
-        new = (_fixed(table.column(0), KEY), table.column(1).to_numpy(), table.column(2).to_numpy(), _fixed(table.column(3), SKETCH))
-        rows = new if held is None else tuple(np.concatenate((h, x)) for h, x in zip(held, new))
-        fresh = 0 if held is None else len(held[1])
-        if head is None:
-            head = tuple(x[: REACH + 1] for x in rows)
-        held = tuple(x[-REACH - 1 :] for x in rows)
-        return _found(_adjacent(*rows, fresh))
+        return _fixed(table.column(0), width), table.column(1).to_numpy(), table.column(2).to_numpy(), _fixed(table.column(3), SKETCH), table.column(4).to_numpy()
 
     size = 0
     for batch in batches:
         waiting.append(batch)
         size += batch.num_rows
         if size >= 16384:
-            yield flush()
+            yield rows()
             size = 0
     if size:
-        yield flush()
+        yield rows()
+
+
+def _lead(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """One pair a row: with the first row of its run (equal prefixes), else with the row before it; and all rows of runs of two and more."""
+    held: Rows | None = None  # the first row of the open run and the last row
+    for new in _blocks(batches, width):
+        rows = new if held is None else tuple(np.concatenate((h, x)) for h, x in zip(held, new))
+        old = 0 if held is None else len(held[1])
+        m = len(rows[1])
+        same = np.zeros(m, bool)
+        same[1:] = (rows[0][1:, :prefix] == rows[0][:-1, :prefix]).all(axis=1)
+        at = np.arange(m)
+        start = np.maximum.accumulate(np.where(same, 0, at))
+        later = at[old:][same[old:]]
+        good, equal = _alike(rows, later, start[later])
+        pairs = [_pairs(rows, later[good], start[later[good]], equal[good])]
+        rest = later[~good & (start[later] != later - 1)]
+        good, equal = _alike(rows, rest, rest - 1)
+        pairs.append(_pairs(rows, rest[good], rest[good] - 1, equal[good]))
+        # the last row waits for the next block; the first of a range may continue a run of the range before
+        joined = same.copy()
+        joined[:-1] |= same[1:]
+        joined[0] |= held is None
+        if old == 2:
+            joined[0] = False  # the open run's first row went out before
+        keep = np.flatnonzero(joined[:-1])
+        yield _found(pairs, tuple(x[keep] for x in rows))
+        first = start[-1]
+        held = tuple(x[[first, m - 1]] if first < m - 1 else x[-1:] for x in rows)
+    if held is not None:
+        yield _found([], tuple(x[-1:] for x in held))
+
+
+def _adjacent(rows: Rows, prefix: int, fresh_from: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pairs within ``REACH`` of each other in a run whose later row is at or after ``fresh_from``, and the rows whose run goes on beyond."""
+    key, ids, found, m = rows[0], rows[1], [], len(rows[1])
+    crowded = np.zeros(m, bool)
+    for step in range(1, REACH + 2):
+        later = np.arange(max(fresh_from, step), m)
+        later = later[(key[later, :prefix] == key[later - step, :prefix]).all(axis=1)]
+        if step > REACH:
+            crowded[later] = crowded[later - step] = True
+            break
+        good, equal = _alike(rows, later, later - step)
+        later, equal = later[good], equal[good]
+        if len(later):
+            found.append(_pairs(rows, later, later - step, equal))
+    return found, np.flatnonzero(crowded)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], width: int, prefix: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components near each other in one sorted range, and rows of crowded runs; with ``edges`` also the range's first and last rows."""
+    held: Rows | None = None
+    head: Rows | None = None
+    for new in _blocks(batches, width):
+        rows = new if held is None else tuple(np.concatenate((h, x)) for h, x in zip(held, new))
+        if head is None:
+            head = tuple(x[: REACH + 1] for x in rows)
+        pairs, crowded = _adjacent(rows, prefix, 0 if held is None else len(held[1]))
+        held = tuple(x[-REACH - 1 :] for x in rows)
+        yield _found(pairs, tuple(x[crowded] for x in rows))
     if edges and head is not None:
-        yield _found([], head)
-        yield _found([], held)
+        yield _found([], head, EDGE)
+        yield _found([], held, EDGE)
+
+
+ENTRY = "key", "doc_id", "n", "sketch", "c"
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.select(*ENTRY).repartitionByRange(partitions(rows.sparkSession), "key", "doc_id").sortWithinPartitions("key", "doc_id")
+
+
+def _entries(found: DataFrame) -> DataFrame:
+    return found.select("key", F.col("a").alias("doc_id"), "n", "sketch", "c")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs ``a < b`` with their equal minima, from rows near each other in any order; crowded rows as ``a = b``."""
-    spark = classes.sparkSession
+def forest(classes: DataFrame) -> DataFrame:
+    """A row for each class and signature order."""
     each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda i: F.substring(F.col("keys"), i * KEY + 1, F.lit(KEY))))
-    rows = classes.select(each.alias("key"), "doc_id", F.col("n_shingles").alias("n"), "sketch")
-    ordered = rows.repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id")
-    raw = materialise(ordered.mapInArrow(lambda b: _scan(b, True), FOUND))
+    return classes.select(each.alias("key"), F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "sketch", F.col("rep").alias("c"))
+
+
+def candidates(rows: DataFrame, width: int, prefix: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a < b`` of different components in short runs or near each other in long ones, and the rows of the long runs."""
+    raw = materialise(_sorted(rows).mapInArrow(lambda b: _scan(b, width, prefix, True), FOUND))
     # the seams: first and last rows of each range, 18 a range, in one sorted run
-    seams = raw.where("b is null").select("key", F.col("a").alias("doc_id"), "n", "sketch").distinct()
-    seam_pairs = seams.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(lambda b: _scan(b, False), FOUND)
-    pairs = raw.where("b is not null").select("a", "b", "equal").union(seam_pairs.select("a", "b", "equal"))
-    return materialise(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")))
+    seams = _entries(raw.where(F.col("kind") == EDGE)).distinct()
+    ends = materialise(seams.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(lambda b: _scan(b, width, prefix, False), FOUND))
+    both = raw.union(ends)
+    pairs = materialise(both.where(F.col("kind") == PAIR).select("a", "b").distinct())
+    crowded = materialise(_entries(both.where(F.col("kind") == ROW)).distinct())
+    release(raw, ends)
+    return pairs, crowded
+
+
+def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the component that their document has by now."""
+    now = found.select(F.col("v").alias("doc_id"), F.col("c").alias("_c"))
+    return rows.join(now, "doc_id", "left").select("key", "doc_id", "n", "sketch", F.coalesce("_c", "c").alias("c"))
+
+
+def mixed(rows: DataFrame, prefix: int) -> DataFrame:
+    """The rows of runs in which more than one component is left."""
+    run = F.substring("key", 1, prefix)
+    several = rows.groupBy(run.alias("_run")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("_run")
+    return rows.withColumn("_run", run).join(several, "_run", "left_semi").drop("_run")
+
+
+def _children(batches: Iterator[pa.RecordBatch], level: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Rows of crowded runs, each under ``BRANCHES`` keys of that run with further minima."""
+    for batch in batches:
+        m = batch.num_rows
+        if not m:
+            continue
+        runs = np.frombuffer(b"".join(k[:prefix] for k in batch.column(0).to_pylist()), np.uint8)
+        at = np.arange(m) * prefix
+        run = K.span_hashes(runs, at, at + prefix)
+        levels = _fixed(batch.column(5), TREES * KEY).reshape(m, TREES, KEY)[:, :, 1:].reshape(m, HASHES, 2)
+        out = np.zeros((BRANCHES, m, CHILD_KEY), np.uint8)
+        for branch in range(BRANCHES):
+            own = K.splitmix(run ^ K.WORD_COEFF[branch])
+            out[branch, :, :8] = own.astype(">u8").view(np.uint8).reshape(m, 8)
+            chosen = K.stream(101 + level * BRANCHES + branch, HASHES).argsort()[: (CHILD_KEY - 8) // 2]
+            out[branch, :, 8:] = levels[:, chosen].reshape(m, -1)
+        take = pa.array(np.tile(np.arange(m), BRANCHES))
+        keys = pa.array([k.tobytes() for k in out.reshape(-1, CHILD_KEY)], pa.binary())
+        yield pa.RecordBatch.from_arrays([keys, *(batch.column(i).take(take) for i in range(1, 5))], names=list(ENTRY))
+
+
+def deeper(rows: DataFrame, classes: DataFrame, level: int, prefix: int) -> DataFrame:
+    """The next level below crowded runs: a run splits into several, each sharing ``DEEPER`` minima more."""
+    minima_of = classes.select(F.col("rep").alias("doc_id"), "keys")
+    wide = rows.join(minima_of, "doc_id").select(*ENTRY, "keys")
+    return wide.mapInArrow(lambda b: _children(b, level, prefix), "key binary, doc_id long, n long, sketch binary, c long")
+
+
+def _packed(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The texts whose key's bit is set, compressed."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        at = batch.column(2).to_numpy()
+        hit = np.flatnonzero(words[at >> 6] >> (at & 63) & 1)
+        if len(hit):
+            take = pa.array(hit)
+            texts_ = batch.column(1).take(take).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array([press.compress(t.encode()) for t in texts_], pa.binary())], names=["doc_id", "packed"])
 
 
 def confirm(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach ``percent`` of similarity."""
+    """The pairs whose full shingle sets reach ``percent`` of similarity.
+
+    A filter of fixed size keeps most texts that no pair needs out of the shuffle; the others travel compressed.
+    """
+    words = membership(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d")
+    needed = source.select("doc_id", "text", slot(F.col("doc_id")).alias("at")).mapInArrow(lambda b: _packed(b, words), "doc_id long, packed binary")
+    needed = materialise(needed)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            left, left_at = K.string_buffers(batch.column(2))
-            right, right_at = K.string_buffers(batch.column(3))
+            left, left_at = K.string_buffers(pa.array([unpress.decompress(x) for x in batch.column(2).to_pylist()], pa.large_binary()).cast(pa.large_string()))
+            right, right_at = K.string_buffers(pa.array([unpress.decompress(x) for x in batch.column(3).to_pylist()], pa.large_binary()).cast(pa.large_string()))
             keep = []
             for i, j, part, own in K.slices(left, left_at):
                 first = shingle_sets(part, own, k)
@@ -217,60 +343,68 @@ def confirm(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFr
                             keep.append(at)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    with_a = pairs.select("a", "b").join(source.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(source.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    with_a = pairs.select("a", "b").join(needed.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a")
+    with_b = with_a.join(needed.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b")
+    links = materialise(with_b.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+    release(needed)
+    return links
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        data, offsets = K.string_buffers(batch.column(1))
-        for _, _, part, own in K.slices(data, offsets):
-            for values in shingle_sets(part, own, k):
-                np.add.at(total, (values % np.uint64(COUNTERS)).astype(np.int64), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["slot", "n"])
+def _chosen(pairs: DataFrame) -> DataFrame:
+    """For each component its most alike partner, and its partner of least id: enough to unite most of a group."""
+    sides = pairs.select(F.col("ca").alias("d"), F.col("a"), F.col("b"), "equal", F.col("b").alias("o")).union(pairs.select("cb", "a", "b", "equal", "a"))
+    best = sides.groupBy("d").agg(F.max(F.struct("equal", -F.col("o"), "a", "b")).alias("x"), F.min(F.struct("o", "a", "b")).alias("y"))
+    return best.select(F.inline(F.array(F.struct("x.a", "x.b"), F.struct("y.a", "y.b")))).distinct()
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rarest shingles of each set, as many as one of them must be shared at ``percent``."""
-    for batch in batches:
-        data, offsets = K.string_buffers(batch.column(1))
-        words = _fixed(batch.column(3), SKETCH).view(np.int64)
-        for i, _, part, own in K.slices(data, offsets):
-            chosen, at = [], []
-            for row, values in enumerate(shingle_sets(part, own, k), i):
-                n = len(values)
-                order = np.lexsort((values, often[(values % np.uint64(COUNTERS)).astype(np.int64)]))
-                chosen.append(values[order[: n + 1 - (percent * n + 99) // 100]].astype(np.int64))
-                at.append(np.full(len(chosen[-1]), row))
-            take = pa.array(np.concatenate(at))
-            own_words = [pa.array(words[np.concatenate(at), j]) for j in range(SKETCH // 8)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), batch.column(0).take(take), batch.column(2).take(take), batch.column(4).take(take), *own_words], names=["h", "id", "n", "comp", "s0", "s1", "s2"])
-
-
-def crowded_pairs(crowd: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs ``a < b`` of different components that can reach ``percent``: all of them, but for the sketch's error.
-
-    ``crowd`` has ``doc_id, text, n_shingles, sketch, comp``. The frequencies that reach the driver are ``COUNTERS`` numbers
-    at most, whatever the input.
-    """
-    counted = crowd.select("doc_id", "text").mapInArrow(lambda b: _frequencies(b, k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(COUNTERS, np.int64)
-    often[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
-    posted = crowd.select("doc_id", "text", "n_shingles", "sketch", "comp")
-    postings = materialise(posted.mapInArrow(lambda b: _prefixes(b, k, percent, often), "h long, id long, n long, comp long, s0 long, s1 long, s2 long"))
-    mixed = postings.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    shared = materialise(postings.join(mixed, "h", "left_semi"))
-    x, y = shared.alias("x"), shared.alias("y")
-    differing = F.lit(0)
-    for j in range(SKETCH // 8):
-        bits = F.col(f"x.s{j}").bitwiseXOR(F.col(f"y.s{j}"))
-        differing = differing + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.comp") != F.col("y.comp"))
-    close = (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & sizes & (differing <= HASHES - MIN_EQUAL)
-    return materialise(x.join(y, close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+def linked(classes: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+    """``v, c`` of the classes that have a link: the least representative that each reaches."""
+    prefix = 1 + 2 * MIN_LEVELS
+    rows, found = forest(classes), None
+    for _ in range(LEAD_ROUNDS):
+        given = rows if found is None else mixed(labelled(rows, found), prefix)
+        raw = materialise(_sorted(given).mapInArrow(lambda b: _lead(b, KEY, prefix), FOUND))
+        survivors = materialise(_entries(raw.where(F.col("kind") == ROW)))
+        pairs = raw.where(F.col("kind") == PAIR).select("a", "b", "equal", F.col("a").alias("ca"), F.col("b").alias("cb"))
+        if found is not None:
+            at_a, at_b = (found.select(F.col("v").alias(x), F.col("c").alias(f"_{x}")) for x in "ab")
+            pairs = pairs.drop("ca", "cb").join(at_a, "a", "left").join(at_b, "b", "left").select("a", "b", "equal", F.coalesce("_a", "a").alias("ca"), F.coalesce("_b", "b").alias("cb"))
+        chosen = materialise(_chosen(pairs))
+        links = confirm(chosen, source, k, percent)
+        found = components(links) if found is None else extend(found, links)
+        release(raw, chosen, links, rows)
+        rows = survivors
+    width = KEY
+    level = 0
+    while True:
+        open_rows = materialise(mixed(labelled(rows, found), prefix))
+        release(rows)
+        if open_rows.isEmpty():
+            release(open_rows)
+            return found
+        if level == MAX_LEVEL:
+            pairs, rows = within(open_rows, prefix), None
+        else:
+            pairs, rows = candidates(open_rows, width, prefix)
+        links = confirm(pairs, source, k, percent)
+        if not links.isEmpty():
+            found = extend(found, links)
+        release(open_rows, pairs, links)
+        if rows is None or rows.isEmpty():
+            return found
+        crowded = materialise(mixed(labelled(rows, found), prefix))
+        release(rows)
+        rows = materialise(deeper(crowded, classes, level, prefix))
+        release(crowded)
+        width, prefix, level = CHILD_KEY, CHILD_PREFIX, level + 1
+
+
+def within(rows: DataFrame, prefix: int) -> DataFrame:
+    """All pairs ``a < b`` of different components in a run: what is left where runs stay long at the last level."""
+    bare = rows.select(F.substring("key", 1, prefix).alias("run"), "doc_id", "n", "c")
+    x, y = bare.alias("x"), bare.alias("y")
+    close = (F.col("x.run") == F.col("y.run")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
+    return materialise(x.join(y, close).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -278,41 +412,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Links have ``100 * |A and B| >= percent * |A or B|`` over distinct ``k``-word shingles (fewer words: the whole
     sequence). A text without words, or null, has no shingle and stands alone. A row with a null key is kept with
-    a null component. Repeated rows share their component; other columns are ignored.
+    a null component. Repeated rows share their component; of several texts under one key the least stands for
+    the key where links are confirmed. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     tune(spark)
     source = texts(docs)
     signed = materialise(source.mapInArrow(lambda b: _sign(b, k), SIGNED))
-    own = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    sets = signed.where(own)
-    classes = materialise(sets.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    chosen = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    near = candidates(chosen)
-    pairs, crowd = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("doc_id"))
-    keyed = source.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(signed) else source.where("doc_id is not null")
-
-    sides = pairs.select(F.col("a").alias("d"), F.col("b").alias("o"), "equal").union(pairs.select("b", "a", "equal"))
-    rank = F.row_number().over(Window.partitionBy("d").orderBy(F.desc("equal"), "o"))
-    first = sides.select("d", "o", rank.alias("rank")).where(F.col("rank") <= FIRST_PARTNERS).select(F.least("d", "o").alias("a"), F.greatest("d", "o").alias("b")).distinct()
-    first = materialise(first)
-    links = materialise(confirm(first, keyed, k, percent))
-    found = components(links)
-    at_a, at_b = (found.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    open_pairs = pairs.join(first, ["a", "b"], "left_anti").join(at_a, "a", "left").join(at_b, "b", "left")
-    open_pairs = materialise(open_pairs.where("ca is null or cb is null or ca <> cb").select("a", "b"))
-    if not open_pairs.isEmpty():
-        more = materialise(confirm(open_pairs, keyed, k, percent))
-        if not more.isEmpty():
-            found = extend(found, more)
-    if not crowd.isEmpty():
-        crowded = keyed.join(crowd, "doc_id").join(chosen.select("doc_id", "n_shingles", "sketch"), "doc_id").join(found, F.col("doc_id") == F.col("v"), "left")
-        beyond = crowded_pairs(crowded.withColumn("comp", F.coalesce("c", "doc_id")), k, percent)
-        more = materialise(confirm(beyond, keyed, k, percent))
-        if not more.isEmpty():
-            found = extend(found, more)
-    joined = signed.select("doc_id", "n_shingles", "set1", "set2").join(classes, ["set1", "set2", "n_shingles"], "left").join(found, F.col("rep") == F.col("v"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id"))
+    sets = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    # equal sets have equal signatures, so any row's stand for the class
+    classes = materialise(sets.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    keyed = source.where("doc_id is not null")
+    if _repeats(signed):
+        keyed = keyed.groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = linked(classes, keyed, k, percent)
+    members = classes.select("set1", "set2", "n_shingles", "rep").join(found, F.col("rep") == F.col("v"), "left").select("set1", "set2", "n_shingles", F.coalesce("c", "rep").alias("c"))
+    joined = signed.select("doc_id", "n_shingles", "set1", "set2").join(members, ["set1", "set2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -322,10 +438,16 @@ def _repeats(signed: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stand for their group; rows that repeat a key are reduced to one."""
+    """The rows of ``docs`` (all columns) that stand for their group.
+
+    Of rows that repeat a key the one with the least text is kept (then the one whose row has the least hash). Rows
+    with a null key all stay, and so does one row of each text without words.
+    """
     verdicts = materialise(near_duplicates(docs, k, percent).where("doc_id is not null"))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_d")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == F.col("_d"), "left_semi")
+    (own,) = fresh(docs, "_own")
+    kept = verdicts.where("kept").select(F.col("doc_id").alias(own)).distinct()
+    named = docs.join(kept, docs["doc_id"].cast("long") == F.col(own), "left_semi")
     if not verdicts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
+        whole = F.struct(*[docs[c] for c in docs.columns])
+        named = named.groupBy(named["doc_id"].cast("long").alias(own)).agg(F.min_by(whole, F.struct(named["text"], F.xxhash64(F.to_json(whole)))).alias("row")).select("row.*")
     return named.unionByName(docs.where("doc_id is null"))

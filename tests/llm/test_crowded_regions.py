@@ -51,7 +51,7 @@ def crowded_rows(seed):
 def test_pairs_beyond_the_reach_are_found(spark, monkeypatch, seed):
     rows = crowded_rows(seed)
     seen = []
-    monkeypatch.setattr(neardup, "crowded_pairs", lambda *a, f=neardup.crowded_pairs: seen.append(1) or f(*a))
+    monkeypatch.setattr(neardup, "deeper", lambda *a, f=neardup.deeper: seen.append(1) or f(*a))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4, 80).collect()}
     assert seen
