@@ -64,24 +64,33 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def slot(key: Column) -> Column:
+def slot(*key: Column) -> Column:
     """The bit of a membership filter that stands for a key."""
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
+    return F.shiftrightunsigned(F.xxhash64(*key), 64 - FILTER_BITS)
 
 
-def membership(keys: DataFrame, name: str) -> np.ndarray:
-    """A filter of fixed size over the keys of a column: 64-bit words with the bit of each key's ``slot`` set.
+def passes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the bits are set in a membership filter."""
+    return (words[at >> 6] >> (at & 63) & 1).astype(bool)
 
-    Rows that it lets pass need not hold a key: it spares shuffling rows before a join and does not replace the join.
-    """
-    at = slot(F.col(name))
-    bit = F.expr("shiftleft(1L, cast(_at & 63 as int))")
-    words = keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+
+def bits(places: DataFrame) -> np.ndarray:
+    """64-bit words with the bits in column ``at`` set: fixed in size, whatever the input."""
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    words = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return out
 
 
+def membership(keys: DataFrame, *names: str) -> np.ndarray:
+    """A filter of fixed size over the keys in some columns, with the bit of each key's ``slot`` set.
+
+    Rows that it lets pass need not hold a key: it spares shuffling rows before a join and does not replace the join.
+    """
+    return bits(keys.select(slot(*names).alias("at")))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

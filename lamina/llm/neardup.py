@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import kernels as K
-from lamina.llm.common import fresh, materialise, membership, partitions, release, slot, texts, tune
+from lamina.llm.common import fresh, materialise, membership, partitions, passes, release, slot, texts, tune
 from lamina.llm.components import components, extend
 
 TREES = 16
@@ -306,8 +306,7 @@ def _packed(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa
 
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        at = batch.column(2).to_numpy()
-        hit = np.flatnonzero(words[at >> 6] >> (at & 63) & 1)
+        hit = np.flatnonzero(passes(words, batch.column(2).to_numpy()))
         if len(hit):
             take = pa.array(hit)
             texts_ = batch.column(1).take(take).to_pylist()
