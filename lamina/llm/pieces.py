@@ -2,21 +2,28 @@
 
 The best segmentation and decoding are the library's. Sampled segmentations come
 from the lattice of all vocabulary pieces of the whole text: each complete path has
-the log-probability of its scaled piece scores, and a perturbed A-star search
-emits paths in the order of their Gumbel-perturbed log-probabilities. The maximum
-over a subtree is itself Gumbel with the subtree's mass, so bounds come from the
-backward sums and the first k emitted are a sample of k distinct segmentations
-without replacement. The (k+1)-th perturbed value is the threshold that gives each
-its inclusion score. Perturbations are seeded by the row key. Edges are looked up
-where they are needed, so memory is a number and a path step a character.
+the log-probability of its scaled piece scores. No piece has a word mark after
+another character, so no path crosses into a word in the middle of a piece, and the
+lattice is a chain of words; edges and backward masses are computed once for each
+distinct word, many words at a time.
+
+Top-k sampling without replacement is an A-star search over sets of paths whose
+perturbed maximum is known. The best path of a set is drawn step by step by the
+backward masses and takes over the set's maximum. The rest of the set falls apart by
+the step at which a path leaves the drawn one; the maximum of each part is a Gumbel
+value of the part's mass, truncated at the set's. The part with the largest goes on.
+So the first k emitted are k distinct segmentations, and the best part left is the
+threshold that gives each its inclusion score. All random numbers are hashes of the
+row key and the place where they are used.
 """
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import math
-import random
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,9 +34,15 @@ from lamina.llm import kernels as K
 from lamina.llm.common import texts, tune
 from lamina.llm.tokens import tokenizer_path
 
-#: Longest piece tried, in characters.
-MAX_PIECE = 16
 TEMPERATURE = 0.1
+MARK = "▁"
+#: A run of marks and the characters up to the next mark.
+UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Edges that a worker keeps; beyond, it begins anew (about 100 MB).
+CACHE_EDGES = 4_000_000
+#: Characters from a word's end up to which places of all words are worked on at once.
+TOGETHER = 64
+_MANY = K.stream(71, 8)
 
 
 @lru_cache(maxsize=2)
@@ -42,106 +55,328 @@ def load(path: str):
     return model, {model.id_to_piece(i): (i, model.get_score(i)) for i in usable}, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-Edge = tuple[int, tuple[int, ...], float]
+class Trie:
+    """Pieces by their characters, in arrays: one step moves many places on at once."""
 
-
-def weigh(vocabulary: dict[str, tuple[int, float]], theta: float) -> dict[str, tuple[tuple[int, ...], float] | None]:
-    """Ids and log weight of each piece, and None for each beginning of a piece that is none itself."""
-    out: dict[str, tuple[tuple[int, ...], float] | None] = {}
-    for piece, (number, score) in vocabulary.items():
-        if len(piece) <= MAX_PIECE:
-            for size in range(1, len(piece)):
-                out.setdefault(piece[:size], None)
+    def __init__(self, vocabulary: dict[str, tuple[int, float]], theta: float):
+        moves: dict[tuple[int, int], int] = {}
+        number, weight = [-1], [0.0]
+        for piece, (own, score) in vocabulary.items():
+            node = 0
+            for c in map(ord, piece):
+                node = moves.setdefault((node, c), len(number))
+                if node == len(number):
+                    number.append(-1)
+                    weight.append(0.0)
             # BPE scores are merge ranks; their logarithm keeps rare pieces comparable
-            out[piece] = ((number,), -theta * math.log2(2.0 - score))
-    return out
+            number[node], weight[node] = own, -theta * math.log2(2.0 - score)
+        self.number, self.weight = np.array(number, np.int64), np.array(weight)
+        self.longest = max(map(len, vocabulary), default=1)
+        self.crossing = any(MARK in piece.lstrip(MARK) for piece in vocabulary)
+        size = 1 << (2 * len(moves) + 1).bit_length()
+        self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
+        keys = np.array([n << 21 | c for n, c in moves], np.int64)
+        self.keys, self.to = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        to = np.fromiter(moves.values(), np.int64, len(moves))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]], self.to[at[free]] = keys[free], to[free]  # of several the last one stays
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64) & self.mask
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The nodes that the characters lead to, -1 where none does."""
+        keys = nodes << 21 | chars
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.to[at], -1)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            held = self.keys[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.to[at[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out
+
+
+class Lattice:
+    """Edges of distinct words with their probabilities, given that the edge's first place is reached.
+
+    ``first[p]`` is the first edge of place ``p``; an edge has the place it leads to (-1: the word's end), its
+    log-probability, the cumulated probability of its place's edges so far, and its id (``-1 - character`` where the
+    character has no piece and is its bytes).
+    """
+
+    def __init__(self, trie: Trie, theta: float):
+        self.trie, self.theta = trie, theta
+        self.clear()
+
+    def clear(self) -> None:
+        self.units: dict[str, int] = {}
+        self.n_places = self.n_edges = 0
+        self.first, self.owner, self.to = (np.zeros(1 << 18, np.int32) for _ in range(3))
+        self.logq, self.cum, self.ids = np.zeros(1 << 18), np.zeros(1 << 18), np.zeros(1 << 18, np.int32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            held = np.concatenate((held, np.zeros(max(len(held), at + len(values)), held.dtype)))
+            setattr(self, name, held)
+        held[at : at + len(values)] = values
+
+    def places(self, texts_: list[str]) -> list[np.ndarray]:
+        """The first place of each word of normalised texts."""
+        if self.n_edges > CACHE_EDGES:
+            self.clear()
+        split = [[t] if self.trie.crossing else UNIT.findall(t) for t in texts_]
+        new = list(dict.fromkeys(u for units in split for u in units if u not in self.units))
+        for i in range(0, len(new), 20_000):
+            self.add(new[i : i + 20_000])
+        get = self.units.__getitem__
+        return [np.fromiter(map(get, units), np.int64, len(units)) for units in split]
+
+    def add(self, units: list[str]) -> None:
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        n, ends = len(chars), np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(n)  # characters up to the word's end
+        at, node, found = np.arange(n), np.zeros(n, np.int64), []
+        for size in range(1, self.trie.longest + 1):
+            inside = left[at] >= size
+            at, node = at[inside], node[inside]
+            node = self.trie.step(node, chars[at + size - 1])
+            at, node = at[node >= 0], node[node >= 0]
+            if not len(at):
+                break
+            piece = self.trie.number[node] >= 0
+            found.append((at[piece], np.full(int(piece.sum()), size), self.trie.number[node[piece]], self.trie.weight[node[piece]]))
+        whole = np.ones(n, bool)
+        if found:
+            whole[found[0][0][found[0][1] == 1]] = False
+        bare = np.flatnonzero(whole)
+        found.append((bare, np.ones(len(bare), np.int64), -1 - chars[bare], np.full(len(bare), min(-1.0, self.theta * -40.0))))
+        origin, size, ids, weight = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(origin, kind="stable")
+        origin, size, ids, weight = origin[order], size[order], ids[order], weight[order]
+        counts = np.bincount(origin, minlength=n)
+        first = np.cumsum(counts) - counts
+        # backward masses, for all places equally far from their word's end at once
+        mass = np.zeros(n + 1)
+        near = np.argsort(left, kind="stable")
+        together = int(np.searchsorted(left[near], TOGETHER, "right"))
+        cuts = np.flatnonzero(np.diff(left[near[:together]], prepend=0))
+        for a, b in zip(cuts, [*cuts[1:], together]):
+            here = near[a:b]
+            own = counts[here]
+            begin = np.cumsum(own) - own
+            edge = np.repeat(first[here] - begin, own) + np.arange(int(own.sum()))
+            ahead = np.where(size[edge] < left[origin[edge]], mass[origin[edge] + size[edge]], 0.0)
+            value = weight[edge] + ahead
+            top = np.maximum.reduceat(value, begin)
+            mass[here] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, own)), begin))
+        for p in near[together:].tolist():  # far from a word's end there are few places, one by one
+            values = [w + mass[p + k] if k < left[p] else w for k, w in zip(size[first[p] : first[p] + counts[p]].tolist(), weight[first[p] : first[p] + counts[p]].tolist())]
+            top = max(values)
+            mass[p] = top + math.log(sum(math.exp(v - top) for v in values)) if len(values) > 1 else top
+        inner = size < left[origin]
+        logq = np.minimum(weight + np.where(inner, mass[np.minimum(origin + size, n)], 0.0) - mass[origin], 0.0)
+        total = np.cumsum(np.exp(logq))
+        cum = total - np.repeat(np.concatenate(([0.0], total))[first], counts)
+        cum[first + counts - 1] = np.inf
+        for name, start, values in (
+            ("first", self.n_places, np.append(first, len(origin)) + self.n_edges), ("owner", self.n_edges, origin + self.n_places), ("to", self.n_edges, np.where(inner, origin + size + self.n_places, -1)),
+            ("logq", self.n_edges, logq), ("cum", self.n_edges, cum), ("ids", self.n_edges, ids),
+        ):
+            self._put(name, start, values)
+        self.units.update(zip(units, (ends - sizes + self.n_places).tolist()))
+        self.n_places, self.n_edges = self.n_places + n, self.n_edges + len(origin)
+
+    def walk(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A drawn path from each place to its word's end: all edges in a row, and how many each has."""
+        taken, steps, place, step = [], np.zeros(len(starts), np.int64), starts, 0
+        who = np.arange(len(starts))
+        while len(who):
+            r = uniform(seeds[who], step)
+            edge = self.first[place].astype(np.int64)
+            todo = np.flatnonzero(self.cum[edge] <= r)
+            while len(todo):
+                edge[todo] += 1
+                todo = todo[self.cum[edge[todo]] <= r[todo]]
+            taken.append((who, edge))
+            steps[who] += 1
+            place = self.to[edge]
+            who, place, step = who[place >= 0], place[place >= 0], step + 1
+        out, begin = np.empty(int(steps.sum()), np.int64), np.cumsum(steps) - steps
+        for step, (who, edge) in enumerate(taken):
+            out[begin[who] + step] = edge
+        return out, steps
+
+    def draw(self, texts_: list[str], keys: list[int], count: int) -> list[Search]:
+        """Searches with up to ``count`` paths of each text, by falling perturbed value. Every step works on all texts at once."""
+        seeds = K.splitmix(np.array([k & (2**64 - 1) for k in keys], np.uint64))
+        searches = [Search(self, w, s) for w, s in zip(self.places(texts_), seeds)]
+        for rank in range(count):
+            waiting = [(s, branch) for s in searches if (branch := s.branch(rank)) is not None]
+            if not waiting:
+                break
+            starts = [b.starts for _, b in waiting]
+            sizes = np.array([len(x) for x in starts])
+            first = np.cumsum(sizes) - sizes
+            own = np.array([s.seed for s, _ in waiting])
+            places = np.concatenate(starts)
+            edges, steps = self.walk(places, mixed(np.repeat(own, sizes), 3 * rank, np.arange(len(places)) - np.repeat(first, sizes)))
+            closes = np.zeros(len(edges), np.int32)
+            closes[np.cumsum(steps) - 1] = 1
+            walked = np.concatenate(([0], np.cumsum(steps)))[np.append(first, len(places))]
+            parts = [(b.before, edges[x:y]) for (_, b), x, y in zip(waiting, walked[:-1], walked[1:])]
+            done = [(b.done, closes[x:y].cumsum() + (b.done[-1] if len(b.done) else 0)) for (_, b), x, y in zip(waiting, walked[:-1], walked[1:])]
+            path, ends = np.concatenate([x for both in parts for x in both]), np.concatenate([x for both in done for x in both])
+            lengths = np.array([len(x) + len(y) for x, y in parts])
+            self._part(rank, waiting, path, ends, lengths, own, count - rank)
+        return searches
+
+    def _part(self, rank: int, waiting: list, path: np.ndarray, ends: np.ndarray, lengths: np.ndarray, seeds: np.ndarray, wanted: int) -> None:
+        """Notes the drawn paths, and the sets into which the rest falls: those with the largest maxima, as many as can be wanted."""
+        offset = np.cumsum(lengths) - lengths
+        logq = self.logq[path]
+        total = np.cumsum(logq)
+        base = total[offset] - logq[offset]
+        with np.errstate(divide="ignore"):
+            mass = total - logq - np.repeat(base, lengths) + np.log(-np.expm1(logq))
+        values = np.array([b.value for _, b in waiting])
+        logp = total[offset + lengths - 1] - base
+        ids = self.ids[path]
+        for (search, branch), at, n, p in zip(waiting, offset, lengths, logp):
+            search.paths.append((path[at : at + n], float(p), branch.value, ids[at : at + n]))
+            search.ends.append(ends[at : at + n])
+            if branch.step >= 0:
+                mass[at : at + branch.step] = -np.inf  # those leave an earlier path and are its sets
+                mass[at + branch.step] = float(total[at + branch.step] - logq[at + branch.step] - base[np.searchsorted(offset, at)]) + self.rest(path[at + branch.step], branch.out)
+        noise = gumbel(uniform(mixed(np.repeat(seeds, lengths), 3 * rank + 1, np.arange(len(path)) - np.repeat(offset, lengths)), 0))
+        held = -np.logaddexp(-np.repeat(values, lengths), -(mass + noise))
+        for _ in range(wanted):
+            top = np.maximum.reduceat(held, offset)
+            hit = np.flatnonzero(held == np.repeat(top, lengths))
+            hit = hit[np.searchsorted(hit, offset)]
+            for (search, branch), at, i, value in zip(waiting, offset.tolist(), hit.tolist(), top.tolist()):
+                if value > -math.inf:
+                    step = i - at
+                    out = branch.out if step == branch.step else (int(path[i]),)
+                    heapq.heappush(search.sets, (-value, len(search.paths), step, out))
+            held[hit] = -np.inf
+
+    def edges_of(self, place: int) -> range:
+        """A place's edges: the last one's cumulated probability is infinite."""
+        first = last = int(self.first[place])
+        while self.cum[last] != np.inf:
+            last += 1
+        return range(first, last + 1)
+
+    def rest(self, edge: int, out: tuple[int, ...]) -> float:
+        """Log-probability that a path leaves an edge's place by none of ``out``."""
+        left = [self.logq[e] for e in self.edges_of(self.owner[edge]) if e not in out]
+        return float(np.logaddexp.reduce(left)) if left else -math.inf
+
+    def spell(self, ids: np.ndarray, byte_ids: list[int]) -> list[int]:
+        """Vocabulary ids, with the bytes of characters that have no piece."""
+        spelt, out, begin = ids.tolist(), [], 0
+        for i in np.flatnonzero(ids < 0).tolist():
+            out += spelt[begin:i]
+            out += [byte_ids[b] for b in chr(-1 - spelt[i]).encode()]
+            begin = i + 1
+        return out + spelt[begin:] if begin else spelt
+
+
+def mixed(seed: np.ndarray | np.uint64, use: int, place: np.ndarray) -> np.ndarray:
+    """A seed for each place of one of a row's uses of random numbers."""
+    with np.errstate(over="ignore"):
+        return K.splitmix(seed + np.uint64(use + 1) * _MANY[0] + place.astype(np.uint64) * _MANY[1])
+
+
+def uniform(seeds: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in [0, 1) from hashes."""
+    with np.errstate(over="ignore"):
+        return (K.splitmix(seeds + np.uint64(step + 1) * _MANY[2]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def gumbel(u: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(np.maximum(u, 1e-300)))
+
+
+@dataclass
+class Branch:
+    """Where a path goes on: places of the rest of its word and of all later words; its first steps and the words done after each."""
+
+    starts: np.ndarray
+    before: np.ndarray
+    done: np.ndarray
+    value: float
+    step: int = -1
+    out: tuple[int, ...] = ()
+
+
+class Search:
+    """The search over one text's paths. A set holds the paths that share a path's first steps and do not go on by some edges."""
+
+    def __init__(self, lattice: Lattice, words: np.ndarray, seed: np.uint64):
+        self.lattice, self.words, self.seed = lattice, words, seed
+        self.paths: list[tuple[np.ndarray, float, float, np.ndarray]] = []  # edges, log-probability, value, ids
+        self.ends: list[np.ndarray] = []  # of each path: words complete after each step
+        self.sets: list[tuple[float, int, int, tuple[int, ...]]] = []  # -value, number of the path, step, edges left out
+
+    def branch(self, rank: int) -> Branch | None:
+        """The next path's beginning: of the set with the largest maximum, which leaves its earlier path by another edge."""
+        none = np.zeros(0, np.int64)
+        if rank == 0:
+            value = float(gumbel(uniform(mixed(self.seed, 2, np.zeros(1, np.int64)), 0))[0])
+            return Branch(self.words, none, none, value) if len(self.words) else None
+        if not self.sets:
+            return None
+        value, number, step, out = heapq.heappop(self.sets)
+        lattice, edges, ends = self.lattice, self.paths[number - 1][0], self.ends[number - 1]
+        choice = [e for e in lattice.edges_of(lattice.owner[edges[step]]) if e not in out]
+        odds = np.cumsum(np.exp(lattice.logq[choice] - lattice.logq[choice].max()))
+        r = uniform(mixed(self.seed, 3 * rank + 2, np.array([step])), 0)[0] * odds[-1]
+        edge = choice[min(int(np.searchsorted(odds, r, "right")), len(choice) - 1)]
+        complete, to = int(ends[step - 1]) if step else 0, int(lattice.to[edge])
+        later = self.words[complete + 1 :]
+        starts = np.concatenate(([to], later)) if to >= 0 else later
+        return Branch(starts, np.append(edges[:step], edge), np.append(ends[:step], complete + (to < 0)), -value, step, (*out, edge))
+
+    def threshold(self) -> float:
+        return -self.sets[0][0] if self.sets else -math.inf
 
 
 @lru_cache(maxsize=2)
-def weights(path: str, theta: float) -> dict[str, tuple[tuple[int, ...], float] | None]:
-    return weigh(load(path)[1], theta)
-
-
-def edges_from(text: str, i: int, pieces: dict[str, tuple[tuple[int, ...], float] | None], bytes_ids: list[int], theta: float) -> list[Edge]:
-    """Edges leaving a character: end, ids, log weight. A character without a piece is its bytes."""
-    edges: list[Edge] = []
-    for j in range(i + 1, min(len(text), i + MAX_PIECE) + 1):
-        hit = pieces.get(text[i:j], ())
-        if hit:
-            edges.append((j, *hit))
-        elif hit == ():
-            break
-    if not edges or edges[0][0] != i + 1:
-        edges.append((i + 1, tuple(bytes_ids[b] for b in text[i].encode()), min(-1.0, theta * -40.0)))
-    return edges
-
-
-def backward(n: int, edges: Callable[[int], list[Edge]]) -> np.ndarray:
-    """Log mass of all completions from each place."""
-    mass = np.zeros(n + 1)
-    length = MAX_PIECE + 1
-    near = [0.0] * length  # the masses of the places just behind, by place modulo the length
-    for i in range(n - 1, -1, -1):
-        values = [w + near[j % length] for j, _, w in edges(i)]
-        top = max(values)
-        mass[i] = near[i % length] = top + math.log(sum(math.exp(v - top) for v in values)) if len(values) > 1 else top
-    return mass
-
-
-def gumbel(rng: random.Random) -> float:
-    return -math.log(-math.log(rng.random() or 1e-300))
-
-
-def top_segmentations(n: int, edges: Callable[[int], list[Edge]], count: int, rng: random.Random) -> list[tuple[tuple[int, ...], float, float]]:
-    """``count + 1`` distinct paths at most, by falling perturbed value: ids, log-probability, perturbed value.
-
-    A node of the search is a prefix with its exact perturbed maximum; children share their parent's maximum by
-    the truncated-Gumbel rule, so the best of them inherits it and the rest fall below. Paths are linked lists.
-    Each node stands for one path at least, so nodes below as many others as paths are still wanted are dropped.
-    """
-    mass, serial, out = backward(n, edges), 1, []
-    whole = float(mass[0])
-    waiting = [(-gumbel(rng), 0, 0, None, 0.0)]  # by falling bound
-    while waiting and len(out) <= count:
-        bound, _, at, path, weight = waiting.pop(0)
-        top, wanted = -bound, count - len(out)
-        while at < n:
-            # the child that inherits the maximum is followed at once, the others wait
-            leaving = edges(at)
-            noisy = [weight + w + float(mass[j]) - whole + gumbel(rng) for j, _, w in leaving]
-            best = noisy.index(max(noisy)) if len(noisy) > 1 else 0
-            for e, g in enumerate(noisy):
-                if e != best:
-                    j, piece, w = leaving[e]
-                    v = top - g + math.log1p(-math.exp(min(g - noisy[best], -1e-12)))
-                    held = top - max(v, 0.0) - math.log1p(math.exp(-abs(v)))
-                    if wanted and (len(waiting) < wanted or -held < waiting[-1][0]):
-                        bisect.insort(waiting, (-held, serial, j, (path, piece), weight + w))
-                        del waiting[wanted:]
-                    serial += 1
-            j, piece, w = leaving[best]
-            at, path, weight = j, (path, piece), weight + w
-        steps = []
-        while path is not None:
-            path, piece = path
-            steps.append(piece)
-        out.append((tuple(i for piece in reversed(steps) for i in piece), weight - whole, top))
+def lattice_of(path: str, theta: float) -> Lattice:
+    return Lattice(Trie(load(path)[1], theta), theta)
+
+
+def inclusion(logp: float, threshold: float) -> float:
+    """Probability that a path of this log-probability exceeds the threshold."""
+    return -math.expm1(-math.exp(min(logp - threshold, 50.0)))
+
+
+def sample_many(texts_: list[str], keys: list[int], count: int, path: str, theta: float = TEMPERATURE) -> list[list[tuple[list[int], float, float]]]:
+    """``count`` distinct segmentations of each whole text at most: ids, log-probability, inclusion score."""
+    model, _, byte_ids = load(path)
+    lattice = lattice_of(path, theta)
+    out = []
+    for search in lattice.draw([model.normalize(t) for t in texts_], keys, count):
+        least = search.threshold()
+        out.append([(lattice.spell(ids, byte_ids), p, inclusion(p, least)) for _, p, _, ids in search.paths] or [([], 0.0, 1.0)])
     return out
 
 
 def sample(text: str, key: int, count: int, path: str, theta: float = TEMPERATURE) -> list[tuple[list[int], float, float]]:
-    """``count`` distinct segmentations of a whole text at most: ids, log-probability, inclusion score.
-
-    The search runs over the lattice of the whole text, whatever its length.
-    """
-    model, _, bytes_ids = load(path)
-    normal, pieces = model.normalize(text), weights(path, theta)
-    if not normal:
-        return [([], 0.0, 1.0)]
-    rng = random.Random(int(K.splitmix(np.array([key & (2**64 - 1)], np.uint64))[0]))
-    found = top_segmentations(len(normal), lambda i: edges_from(normal, i, pieces, bytes_ids, theta), count, rng)
-    threshold = found[count][2] if len(found) > count else -math.inf
-    return [(list(ids), logp, -math.expm1(-math.exp(min(logp - threshold, 50.0)))) for ids, logp, _ in found[:count]]
+    """The same for one text."""
+    return sample_many([text], [key], count, path, theta)[0]
 
 
 PIECES = "doc_id long, rank int, ids array<int>, logp double, inclusion double, decoded string"
@@ -152,33 +387,35 @@ def encode(docs: DataFrame, samples: int = 2, model: str = "piece_bpe_32k.model"
 
     Rank 0 is the library's own encoding (``logp`` null, ``inclusion`` 1), ranks from 1 are sampled. ``decoded`` is
     the text that the library gives back for the ids. A null or empty text has empty ids. A null key seeds as -1;
-    repeated rows repeat; other columns are ignored.
+    repeated rows repeat; other columns are ignored. An empty table gives no rows.
     """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = locate(model)
         processor = load(path)[0]
-        rows: list[tuple] = []
-        held = 0
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.string()]
+        names = [c.split()[0] for c in PIECES.split(", ")]
 
-        def emit() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.string()]
-            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "rank", "ids", "logp", "inclusion", "decoded"])
+        def work(keys: list[int | None], held: list[str]) -> pa.RecordBatch:
+            rows = []
+            drawn = sample_many(held, [-1 if k is None else k for k in keys], samples, path) if samples else [[]] * len(held)
+            for key, text, own in zip(keys, held, drawn):
+                ids = processor.encode(text)
+                rows.append((key, 0, ids, None, 1.0, processor.decode(ids)))
+                rows += [(key, rank, found, logp, share, processor.decode(found)) for rank, (found, logp, share) in enumerate(own, start=1)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = processor.encode(text)
-                rows.append((doc_id, 0, ids, None, 1.0, processor.decode(ids)))
-                if samples:
-                    for rank, (own, logp, share) in enumerate(sample(text, -1 if doc_id is None else doc_id, samples, path), start=1):
-                        rows.append((doc_id, rank, own, logp, share, processor.decode(own)))
-                held += len(text) * (1 + samples)
-                if held > 1 << 20:
-                    yield emit()
-                    rows, held = [], 0
-        if rows:
-            yield emit()
+            keys, held, size = [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys.append(key)
+                held.append(text)
+                size += len(text)
+                if size > 1 << 20:
+                    yield work(keys, held)
+                    keys, held, size = [], [], 0
+            if keys:
+                yield work(keys, held)
 
     return texts(docs).mapInArrow(run, PIECES)

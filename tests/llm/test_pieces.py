@@ -14,10 +14,37 @@ VOCABULARY = {"a": (1, -3.0), "b": (2, -5.0), "ab": (3, -1.0), "c": (4, -1.0)}
 
 
 def search(text, count, seed, theta=1.0):
-    from lamina.llm.pieces import edges_from, top_segmentations, weigh
+    """``count + 1`` paths at most: ids, log-probability, perturbed value."""
+    from lamina.llm.pieces import Lattice, Trie
 
-    pieces = weigh(VOCABULARY, theta)
-    return top_segmentations(len(text), lambda i: edges_from(text, i, pieces, [0] * 256, theta), count, random.Random(seed))
+    lattice = Lattice(Trie(VOCABULARY, theta), theta)
+    (found,) = lattice.draw([text], [seed], count + 1)
+    return [(tuple(lattice.spell(ids, [0] * 256)), logp, top) for _, logp, top, ids in found.paths]
+
+
+def every_path(text, pieces, theta):
+    """All segmentations of a short text with their weights, by full enumeration."""
+    if not text:
+        return [((), 0.0)]
+    sizes = [n for n in range(1, len(text) + 1) if text[:n] in pieces]
+    heads = [((pieces[text[:n]][0],), -theta * math.log2(2.0 - pieces[text[:n]][1]), n) for n in sizes]
+    if 1 not in sizes:
+        heads.append((tuple(f"byte {b}" for b in text[0].encode()), min(-1.0, theta * -40.0), 1))
+    return [(ids + rest, w + more) for ids, w, n in heads for rest, more in every_path(text[n:], pieces, theta)]
+
+
+@pytest.mark.parametrize("text", ["abab", "a\u00e9ab", "abcabab", "\u2581ab\u2581ca\u2581\u2581b", "b"])
+def test_all_paths_of_short_texts(text):
+    pieces = VOCABULARY | {"\u2581": (5, -2.0), "\u2581a": (6, -2.5), "\u2581ab": (7, -9.0), "\u2581\u2581": (8, -4.0), "ca": (9, -7.0)}
+    from lamina.llm.pieces import Lattice, Trie
+
+    lattice = Lattice(Trie(pieces, 0.7), 0.7)
+    (found,) = lattice.draw([text], [5], 1000)
+    wanted = every_path(text, pieces, 0.7)
+    whole = math.log(sum(math.exp(w) for _, w in wanted))
+    got = {tuple(lattice.spell(ids, [f"byte {b}" for b in range(256)])): p for _, p, _, ids in found.paths}
+    assert len(got) == len(found.paths) == len(wanted) and found.threshold() == -math.inf
+    assert all(math.isclose(got[ids], w - whole, abs_tol=1e-9) for ids, w in wanted)
 
 
 def test_ranks_of_a_long_text_combine_freely():
