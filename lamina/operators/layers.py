@@ -18,6 +18,14 @@ from pyspark.sql import functions as F
 FALLBACK_TABLES = "/tmp/checkpoints"
 
 
+def shared_tables(spark) -> str:
+    """The folder that driver and executors share; a default only on a local master, where there is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return (named or FALLBACK_TABLES).rstrip("/")
+
+
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that comes last in ``order``; keys may be null. Columns keep their names and order."""
     rest = [c for c in df.columns if c not in keys]
@@ -31,8 +39,11 @@ def first_place_last_value(df: DataFrame, key: str, place: str, value: str, orde
 
 
 def highest_version(df: DataFrame, key: str, version: Column, order: str, value: str) -> DataFrame:
-    """``key, version, value`` of the highest version; among equal versions the later row wins, a null version loses."""
-    known = df.withColumn("_v", version)
+    """``key, version, value`` of the highest version; among equal versions the later row wins, a null version loses.
+
+    Versions below -1 never enter.
+    """
+    known = df.withColumn("_v", version).where(F.col("_v").isNull() | (F.col("_v") >= -1))
     best = known.groupBy(key).agg(F.max_by(F.struct("_v", value), F.struct("_v", order)).alias("_b"))
     return best.select(key, F.col("_b._v").alias("version"), F.col(f"_b.{value}").alias("value"))
 
@@ -56,7 +67,7 @@ def changed(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
 def _written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the folder that driver and executors share."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_TABLES).rstrip('/')}/lamina-{uuid4().hex}"
+    path = f"{shared_tables(spark)}/lamina-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -96,29 +107,49 @@ def resolve_chain(df: DataFrame, key: str, parent: str, value: str) -> DataFrame
     return won.select(F.col("k").alias(key), value, "depth")
 
 
+def layer_list(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """``key, layers``: all values of a key in order, the last one being the one that counts."""
+    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_value"))))
+    return df.groupBy(key).agg(F.transform(ordered, lambda x: x["_value"]).alias("layers"))
+
+
+def ambiguous_names(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``name, n``: the names that stand for several keys, and for how many."""
+    return df.groupBy(name).agg(F.count_distinct(key).alias("n")).where("n > 1")
+
+
 def unique_names(df: DataFrame, name: str, key: str) -> DataFrame:
     """``name, key`` of the names that stand for exactly one key; ambiguous names are left out."""
     once = df.groupBy(name).agg(F.min(key).alias(key), F.max(key).alias("_top"))
     return once.where(F.col(key) == F.col("_top")).drop("_top")
 
 
-def fold_entries(df: DataFrame, key: str, parent: str, entries: DataFrame, name: str, value: str) -> DataFrame:
+def fold_entries(df: DataFrame, key: str, parent: str, entries: DataFrame, name: str, value: str, place: str | None = None) -> DataFrame:
     """``key, name, value, depth``: every entry that a key holds or inherits; the nearest ancestor's entry wins.
 
     ``entries`` has ``key, name, value``. After a round each key holds the entries of twice as many nodes, and of each
-    name only the nearest, so what is written stays below the outcome in size.
+    name only the nearest, so what is written stays below the outcome in size. With ``place``, a number in ``entries``,
+    the outcome also has ``first`` (steps to the farthest holder, negative, and the place there): names in that order
+    stand as if the farthest ancestor's entries were overwritten in their places by each nearer one's.
     """
     rows, keys = _nodes(df, key, parent)
-    own = entries.select(F.col(key).alias("k"), F.col(name).alias("n"), F.col(value).alias("v"), F.lit(0).alias("depth"))
+    at = F.col(place).cast("long") if place else F.lit(0).cast("long")
+    far = F.struct(F.lit(0).cast("long").alias("steps"), at.alias("place"))
+    own = entries.select(F.col(key).alias("k"), F.col(name).alias("n"), F.col(value).alias("v"), F.lit(0).alias("depth"), far.alias("first"))
     held = _written(own.join(rows.select("k").distinct(), "k", "left_semi"))
     hops, reach = rows.where("k IS NOT NULL AND p IS NOT NULL").distinct(), 1
+
+    def nearest(found: DataFrame) -> DataFrame:
+        return found.groupBy("k", "n").agg(F.min_by("v", "depth").alias("v"), F.min("depth").alias("depth"), F.min("first").alias("first"))
+
     while reach < keys and not hops.isEmpty():
-        above = hops.join(held.withColumnRenamed("k", "p"), "p").select("k", "n", "v", (F.col("depth") + reach).alias("depth"))
-        held = _written(held.unionByName(above).groupBy("k", "n").agg(F.min_by("v", "depth").alias("v"), F.min("depth").alias("depth")))
+        above = hops.join(held.withColumnRenamed("k", "p"), "p")
+        above = above.select("k", "n", "v", (F.col("depth") + reach).alias("depth"), F.struct((F.col("first.steps") - reach).alias("steps"), F.col("first.place").alias("place")).alias("first"))
+        held = _written(nearest(held.unionByName(above)))
         hops = _written(hops.join(hops.select(F.col("k").alias("p"), F.col("p").alias("_p")), "p").select("k", F.col("_p").alias("p")).distinct())
         reach *= 2
-    won = held.groupBy("k", "n").agg(F.min_by("v", "depth").alias("v"), F.min("depth").alias("depth"))
-    return won.select(F.col("k").alias(key), F.col("n").alias(name), F.col("v").alias(value), "depth")
+    won = nearest(held).select(F.col("k").alias(key), F.col("n").alias(name), F.col("v").alias(value), "depth", "first")
+    return won if place else won.drop("first")
 
 
 def flag_cycles(df: DataFrame, key: str, parent: str) -> DataFrame:

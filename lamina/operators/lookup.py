@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,56 @@ def best_tier(hits: DataFrame, query: str, tier: str) -> DataFrame:
     return hits.join(best, (F.col(query) == F.col("_q")) & (F.col(tier) == F.col("_t")), "left_semi")
 
 
+def glob_pattern(glob: str) -> str:
+    """A regular expression for a glob: ``*`` any run, ``?`` one character, ``[seq]`` and ``[!seq]`` one of or none of.
+
+    A bracket without an end stands for itself; the whole text has to match.
+    """
+    out, at = [], 0
+    while at < len(glob):
+        c, at = glob[at], at + 1
+        end = glob.find("]", at + 1 + (glob[at : at + 1] == "!")) if c == "[" else -1
+        if c in "*?":
+            out.append({"*": ".*", "?": "."}[c])
+        elif end > 0:
+            inner = glob[at:end]
+            negated, inner = inner.startswith("!"), inner.removeprefix("!")
+            # a range that runs backwards holds nothing
+            parts = re.findall(r"(?s)(.)-(.)|(.)", inner)
+            held = "".join(f"\\x{{{ord(a):x}}}-\\x{{{ord(b):x}}}" if a and a <= b else "" if a else f"\\x{{{ord(one):x}}}" for a, b, one in parts)
+            out.append(f"[{'^' * negated}{held}]" if held else "." if negated else "(?!)")
+            at = end + 1
+        else:
+            out.append(c if c.isalnum() else "\\" + c)
+    return "(?s)\\A" + "".join(out) + "\\z"
+
+
+def glob_match(name: str, pattern: str) -> bool:
+    """The same match for one name on the driver."""
+    java = glob_pattern(pattern.lower()).replace("\\z", "\\Z")
+    return re.search(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), java), name.lower()) is not None
+
+
 def like_glob(column: Column, pattern: str) -> Column:
-    """Whether the whole text matches a glob: ``*`` any run, ``?`` one character; case counts."""
-    out = "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() else "\\" + c) for c in pattern)
-    return column.rlike(f"(?s)\\A{out}\\z")
+    """Whether the whole text matches a glob; case does not count."""
+    return F.lower(column).rlike(glob_pattern(pattern.lower()))
+
+
+def name_matches(column: Column, pattern: str) -> Column:
+    """A glob if the pattern has one of ``*?[``, else a part of the name; case does not count."""
+    return like_glob(column, pattern) if any(c in pattern for c in "*?[") else F.contains(F.lower(column), F.lit(pattern.lower()))
+
+
+def any_glob(column: Column, patterns: list[str] | None) -> Column:
+    """Whether one of several globs matches; no globs match all."""
+    out = F.lit(not patterns)
+    for p in patterns or ():
+        out = out | like_glob(column, p)
+    return out
 
 
 def existence(names: DataFrame, known: DataFrame, name: str, other: str) -> DataFrame:
-    """``name, found``: exact, case (only the case differs) or missing."""
+    """``name, found``: exact, case (only the case differs, in any part of the path) or missing."""
     exact = known.select(F.col(other).alias("_e")).distinct()
     lower = known.select(F.lower(other).alias("_l")).distinct()
     joined = names.join(exact, F.col(name) == F.col("_e"), "left").join(lower, F.lower(name) == F.col("_l"), "left")
@@ -36,7 +80,7 @@ def suggestions(df: DataFrame, column: str, part: str, cap: int = 25) -> DataFra
 def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Running sum of ``value`` within each key."""
     span = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.round(F.sum(value).over(span), 2))
+    return df.withColumn(name, F.sum(value).over(span))
 
 
 def exact_else_stem(names: DataFrame, known: DataFrame, name: str, other: str, found: str) -> DataFrame:
