@@ -9,9 +9,10 @@ Groups are united first: each row is paired with the first row of its run, or
 the row before it, and each document's best and least partner are confirmed.
 Then only runs in which several components are left go on, and only pairs of
 different components are looked at, so no group is expanded into its pairs.
-In a short run all such pairs are candidates. A run longer than the reach is
-*crowded*: its nearest neighbours by longest common prefix are candidates, and
-its rows go one level deeper, into four runs of the same rows that share four
+In a short run all such pairs are looked at, and those that sizes and parity maps
+do not rule out (a map differs in no more bits than the sets in shingles) are
+candidates. A run longer than the reach is *crowded*: neighbours by longest common
+prefix are looked at, and its rows go one level deeper, into four runs of the same rows that share four
 minima more. So the depth adapts to the region: a pair at the threshold meets in
 a deeper run with probability 0.88 a level, rows that are less alike thin out.
 Runs that are still crowded at the last level are compared pair by pair.
@@ -37,8 +38,8 @@ TREES = 16
 LEVELS = 6
 #: Shortest common prefix (levels) of a candidate: at similarity 0.8 an order shows it with probability 0.51.
 MIN_LEVELS = 3
-#: Rows looked at on either side in an order.
-REACH = 8
+#: Rows looked at on either side in an order; longer runs are crowded.
+REACH = 512
 HASHES = TREES * LEVELS
 #: Equal 2-bit minima of 96 below which a pair is 5 standard deviations under similarity 0.8.
 MIN_EQUAL = 64
@@ -52,6 +53,8 @@ CHILD_KEY = CHILD_PREFIX + 2 * FURTHER
 MAX_LEVEL = 3
 KEY = 1 + 2 * LEVELS
 SKETCH = HASHES // 4
+#: Bits of the parity map: each shingle turns one over, so two maps differ in no more bits than the sets in shingles.
+PARITY = 1024
 _SEED = K.stream(41, HASHES).astype(np.uint32)
 _MULT = K.stream(43, HASHES).astype(np.uint32) | np.uint32(1)
 _PAIRS_SET = np.array([sum((v >> (2 * i)) & 1 for i in range(4)) for v in range(256)], np.uint8)
@@ -80,6 +83,12 @@ def signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
     return keys.tobytes(), (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """The parity map of a set of shingle hashes."""
+    turned = np.bincount(((shingles >> np.uint64(20)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(turned.astype(np.uint8)).tobytes()
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a slice, A-Z lower-cased."""
     lower = K.ascii_lower(data)
@@ -92,7 +101,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     for batch in batches:
         data, offsets = K.string_buffers(batch.column(1))
         for i, j, part, own in K.slices(data, offsets):
-            n, one, two, keys, sketches = [], [], [], [], []
+            n, one, two, keys, sketches, maps = [], [], [], [], [], []
             for values in shingle_sets(part, own, k):
                 n.append(len(values))
                 one.append(int(np.sum(K.splitmix(values)).astype(np.int64)) if len(values) else None)
@@ -100,13 +109,14 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
                 key, sketch = signature(values) if len(values) else (None, None)
                 keys.append(key)
                 sketches.append(sketch)
+                maps.append(parity(values) if len(values) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "set1", "set2", "keys", "sketch"],
+                [batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(maps, pa.binary())],
+                names=["doc_id", "n_shingles", "set1", "set2", "keys", "sketch", "parity"],
             )
 
 
-SIGNED = "doc_id long, n_shingles long, set1 long, set2 long, keys binary, sketch binary"
+SIGNED = "doc_id long, n_shingles long, set1 long, set2 long, keys binary, sketch binary, parity binary"
 FOUND = "kind int, a long, b long, equal int, key binary, n long, sketch binary, c long"
 PAIR, ROW, EDGE = 0, 1, 2
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -116,13 +126,23 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _alike(rows: Rows, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the row pairs (x, y) are of different components and can reach the similarity, and their equal minima."""
+def _alike(rows: Rows, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the row pairs (x, y) are of different components and seem to reach the similarity, and their equal minima (by sketches)."""
     _, ids, n, sketch, c = rows
     small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
     differ = sketch[x] ^ sketch[y]
     equal = HASHES - _PAIRS_SET[(differ | differ >> 1) & 0x55].sum(axis=1, dtype=np.int64)
-    return (5 * small >= 4 * large) & (ids[x] != ids[y]) & (c[x] != c[y]) & (equal >= MIN_EQUAL), equal
+    return (100 * small >= percent * large) & (ids[x] != ids[y]) & (c[x] != c[y]) & (equal >= MIN_EQUAL), equal
+
+
+def _possible(rows: Rows, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the row pairs (x, y) are of different components and can reach the similarity: by sizes and parity maps, none too few."""
+    _, ids, n, maps, c = rows
+    small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    good = np.flatnonzero((100 * small >= percent * large) & (c[x] != c[y]) & (ids[x] != ids[y]))
+    words = maps.view(np.uint64)
+    differ = np.bitwise_count(words[x[good]] ^ words[y[good]]).sum(axis=1, dtype=np.int64)
+    return good[(100 + percent) * differ <= (100 - percent) * (n[x[good]] + n[y[good]])]
 
 
 def _pairs(rows: Rows, x: np.ndarray, y: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -145,14 +165,14 @@ def _found(pairs: list[np.ndarray], rows: Rows | None = None, kind: int = ROW) -
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Rows]:
-    """Sorted rows in blocks of some 16,000: key, id, size, sketch, component."""
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, marks: int) -> Iterator[Rows]:
+    """Sorted rows in blocks of some 16,000: key, id, size, sketch or parity map of ``marks`` bytes, component."""
     waiting: list[pa.RecordBatch] = []
 
     def rows() -> Rows:
         table = pa.Table.from_batches(waiting)
         waiting.clear()
-        return _fixed(table.column(0), width), table.column(1).to_numpy(), table.column(2).to_numpy(), _fixed(table.column(3), SKETCH), table.column(4).to_numpy()
+        return _fixed(table.column(0), width), table.column(1).to_numpy(), table.column(2).to_numpy(), _fixed(table.column(3), marks), table.column(4).to_numpy()
 
     size = 0
     for batch in batches:
@@ -165,10 +185,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Rows]:
         yield rows()
 
 
-def _lead(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterator[pa.RecordBatch]:
+def _lead(batches: Iterator[pa.RecordBatch], width: int, prefix: int, percent: int) -> Iterator[pa.RecordBatch]:
     """One pair a row: with the first row of its run (equal prefixes), else with the row before it; and all rows of runs of two and more."""
     held: Rows | None = None  # the first row of the open run and the last row
-    for new in _blocks(batches, width):
+    for new in _blocks(batches, width, SKETCH):
         rows = new if held is None else tuple(np.concatenate((h, x)) for h, x in zip(held, new))
         old = 0 if held is None else len(held[1])
         m = len(rows[1])
@@ -177,10 +197,10 @@ def _lead(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterato
         at = np.arange(m)
         start = np.maximum.accumulate(np.where(same, 0, at))
         later = at[old:][same[old:]]
-        good, equal = _alike(rows, later, start[later])
+        good, equal = _alike(rows, later, start[later], percent)
         pairs = [_pairs(rows, later[good], start[later[good]], equal[good])]
         rest = later[~good & (start[later] != later - 1)]
-        good, equal = _alike(rows, rest, rest - 1)
+        good, equal = _alike(rows, rest, rest - 1, percent)
         pairs.append(_pairs(rows, rest[good], rest[good] - 1, equal[good]))
         # the last row waits for the next block; the first of a range may continue a run of the range before
         joined = same.copy()
@@ -196,36 +216,51 @@ def _lead(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterato
         yield _found([], tuple(x[-1:] for x in held))
 
 
-def _adjacent(rows: Rows, prefix: int, fresh_from: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pairs within ``REACH`` of each other in a run whose later row is at or after ``fresh_from``, and the rows whose run goes on beyond."""
-    key, ids, found, m = rows[0], rows[1], [], len(rows[1])
+def _adjacent(rows: Rows, prefix: int, fresh_from: int, percent: int, reach: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Pairs within ``reach`` of each other in a run whose later row is at or after ``fresh_from``; rows whose run goes on beyond; where each row's run begins."""
+    key, found, m = rows[0], [], len(rows[1])
+    same = np.zeros(m, bool)
+    same[1:] = (key[1:, :prefix] == key[:-1, :prefix]).all(axis=1)
+    start = np.maximum.accumulate(np.where(same, 0, np.arange(m)))
     crowded = np.zeros(m, bool)
-    for step in range(1, REACH + 2):
-        later = np.arange(max(fresh_from, step), m)
-        later = later[(key[later, :prefix] == key[later - step, :prefix]).all(axis=1)]
-        if step > REACH:
+    later = np.arange(fresh_from, m)
+    for step in range(1, reach + 2):
+        later = later[later - start[later] >= step]
+        if not len(later):
+            break
+        if step > reach:
             crowded[later] = crowded[later - step] = True
             break
-        good, equal = _alike(rows, later, later - step)
-        later, equal = later[good], equal[good]
-        if len(later):
-            found.append(_pairs(rows, later, later - step, equal))
-    return found, np.flatnonzero(crowded)
+        at = later[_possible(rows, later, later - step, percent)]
+        if len(at):
+            found.append(_pairs(rows, at, at - step, np.zeros(len(at), np.int64)))
+    return found, np.flatnonzero(crowded), start
+
 
+def _scan(batches: Iterator[pa.RecordBatch], width: int, prefix: int, percent: int, reach: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components near each other in one sorted range, and rows of crowded runs.
 
-def _scan(batches: Iterator[pa.RecordBatch], width: int, prefix: int, edges: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components near each other in one sorted range, and rows of crowded runs; with ``edges`` also the range's first and last rows."""
+    With ``edges`` also the rows at the range's ends whose run may go on in the range before or after, ``reach`` + 1 at most.
+    """
     held: Rows | None = None
-    head: Rows | None = None
-    for new in _blocks(batches, width):
+    head: list[Rows] = []
+    first_run_open = True
+    for new in _blocks(batches, width, PARITY // 8):
         rows = new if held is None else tuple(np.concatenate((h, x)) for h, x in zip(held, new))
-        if head is None:
-            head = tuple(x[: REACH + 1] for x in rows)
-        pairs, crowded = _adjacent(rows, prefix, 0 if held is None else len(held[1]))
-        held = tuple(x[-REACH - 1 :] for x in rows)
+        old = 0 if held is None else len(held[1])
+        pairs, crowded, start = _adjacent(rows, prefix, old, percent, reach)
+        if edges and first_run_open and sum(len(h[1]) for h in head) <= reach:
+            opening = new[0][:, :prefix]
+            stays = (opening == (head[0][0][0, :prefix] if head else opening[0])).all(axis=1)
+            n = int(np.argmin(stays)) if not stays.all() else len(stays)
+            first_run_open = n == len(stays)
+            if n:
+                head.append(tuple(x[:n][: reach + 1] for x in new))
+        held = tuple(x[max(int(start[-1]), len(x) - reach - 1) :] for x in rows)
         yield _found(pairs, tuple(x[crowded] for x in rows))
-    if edges and head is not None:
-        yield _found([], head, EDGE)
+    if edges and held is not None:
+        for part in head:
+            yield _found([], part, EDGE)
         yield _found([], held, EDGE)
 
 
@@ -246,12 +281,12 @@ def forest(classes: DataFrame) -> DataFrame:
     return classes.select(each.alias("key"), F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "sketch", F.col("rep").alias("c"))
 
 
-def candidates(rows: DataFrame, width: int, prefix: int) -> tuple[DataFrame, DataFrame]:
+def candidates(rows: DataFrame, width: int, prefix: int, percent: int, reach: int) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs ``a < b`` of different components in short runs or near each other in long ones, and the rows of the long runs."""
-    raw = materialise(_sorted(rows).mapInArrow(lambda b: _scan(b, width, prefix, True), FOUND))
-    # the seams: first and last rows of each range, 18 a range, in one sorted run
+    raw = materialise(_sorted(rows).mapInArrow(lambda b: _scan(b, width, prefix, percent, reach, True), FOUND))
+    # the seams: the runs that reach a range's ends, in one sorted run; mostly a few rows a range
     seams = _entries(raw.where(F.col("kind") == EDGE)).distinct()
-    ends = materialise(seams.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(lambda b: _scan(b, width, prefix, False), FOUND))
+    ends = materialise(seams.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(lambda b: _scan(b, width, prefix, percent, reach, False), FOUND))
     both = raw.union(ends)
     pairs = materialise(both.where(F.col("kind") == PAIR).select("a", "b").distinct())
     crowded = materialise(_entries(both.where(F.col("kind") == ROW)).distinct())
@@ -356,13 +391,13 @@ def _chosen(pairs: DataFrame) -> DataFrame:
     return best.select(F.inline(F.array(F.struct("x.a", "x.b"), F.struct("y.a", "y.b")))).distinct()
 
 
-def linked(classes: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+def linked(classes: DataFrame, source: DataFrame, k: int, percent: int, reach: int) -> DataFrame:
     """``v, c`` of the classes that have a link: the least representative that each reaches."""
     prefix = 1 + 2 * MIN_LEVELS
     rows, found = forest(classes), None
     for _ in range(LEAD_ROUNDS):
         given = rows if found is None else mixed(labelled(rows, found), prefix)
-        raw = materialise(_sorted(given).mapInArrow(lambda b: _lead(b, KEY, prefix), FOUND))
+        raw = materialise(_sorted(given).mapInArrow(lambda b: _lead(b, KEY, prefix, percent), FOUND))
         survivors = materialise(_entries(raw.where(F.col("kind") == ROW)))
         pairs = raw.where(F.col("kind") == PAIR).select("a", "b", "equal", F.col("a").alias("ca"), F.col("b").alias("cb"))
         if found is not None:
@@ -376,15 +411,19 @@ def linked(classes: DataFrame, source: DataFrame, k: int, percent: int) -> DataF
     width = KEY
     level = 0
     while True:
-        open_rows = materialise(mixed(labelled(rows, found), prefix))
+        open_rows = mixed(labelled(rows, found), prefix)
+        if not level:  # from here on rows bear the parity map in place of the sketch
+            maps = classes.select(F.col("rep").alias("doc_id"), "parity")
+            open_rows = open_rows.drop("sketch").join(maps, "doc_id").withColumnRenamed("parity", "sketch").select(*ENTRY)
+        open_rows = materialise(open_rows)
         release(rows)
         if open_rows.isEmpty():
             release(open_rows)
             return found
         if level == MAX_LEVEL:
-            pairs, rows = within(open_rows, prefix), None
+            pairs, rows = within(open_rows, prefix, percent), None
         else:
-            pairs, rows = candidates(open_rows, width, prefix)
+            pairs, rows = candidates(open_rows, width, prefix, percent, reach)
         links = confirm(pairs, source, k, percent)
         if not links.isEmpty():
             found = extend(found, links)
@@ -398,15 +437,15 @@ def linked(classes: DataFrame, source: DataFrame, k: int, percent: int) -> DataF
         width, prefix, level = CHILD_KEY, CHILD_PREFIX, level + 1
 
 
-def within(rows: DataFrame, prefix: int) -> DataFrame:
+def within(rows: DataFrame, prefix: int, percent: int) -> DataFrame:
     """All pairs ``a < b`` of different components in a run: what is left where runs stay long at the last level."""
     bare = rows.select(F.substring("key", 1, prefix).alias("run"), "doc_id", "n", "c")
     x, y = bare.alias("x"), bare.alias("y")
-    close = (F.col("x.run") == F.col("y.run")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
+    close = (F.col("x.run") == F.col("y.run")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     return materialise(x.join(y, close).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, reach: int = REACH) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     Links have ``100 * |A and B| >= percent * |A or B|`` over distinct ``k``-word shingles (fewer words: the whole
@@ -420,11 +459,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = materialise(source.mapInArrow(lambda b: _sign(b, k), SIGNED))
     sets = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # equal sets have equal signatures, so any row's stand for the class
-    classes = materialise(sets.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    classes = materialise(sets.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
     keyed = source.where("doc_id is not null")
     if _repeats(signed):
         keyed = keyed.groupBy("doc_id").agg(F.min("text").alias("text"))
-    found = linked(classes, keyed, k, percent)
+    found = linked(classes, keyed, k, percent, reach)
     members = classes.select("set1", "set2", "n_shingles", "rep").join(found, F.col("rep") == F.col("v"), "left").select("set1", "set2", "n_shingles", F.coalesce("c", "rep").alias("c"))
     joined = signed.select("doc_id", "n_shingles", "set1", "set2").join(members, ["set1", "set2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

@@ -53,11 +53,19 @@ def test_pairs_beyond_the_reach_are_found(spark, monkeypatch, seed):
     seen = []
     monkeypatch.setattr(neardup, "deeper", lambda *a, f=neardup.deeper: seen.append(1) or f(*a))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4, 80).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4, 80, reach=8).collect()}
     assert seen
     assert got == brute(rows, 4, 80)
 
 
+def test_long_runs_give_the_same_at_any_reach(spark):
+    rows = crowded_rows(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted = brute(rows, 4, 80)
+    for reach in (1, 512):
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4, 80, reach=reach).collect()} == wanted
+
+
 def test_extended_components_equal_those_of_the_whole_graph(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
