@@ -104,6 +104,19 @@ def path_matches(path: Column, suffixes: tuple[str, ...], markers: tuple[str, ..
     return ends & holds
 
 
+def true_size(uncompressed: Column, on_disk: Column) -> Column:
+    """A stored file's size: what it unpacks to or, where none is declared, what is stored."""
+    return F.when(uncompressed != 0, uncompressed).otherwise(on_disk)
+
+
+def compression_method(flags: Column) -> Column:
+    return flags.bitwiseAND(F.lit(0x0F))
+
+
+def is_solid(flags: Column) -> Column:
+    return flags.bitwiseAND(F.lit(0x04)) != 0
+
+
 def bucket(column: Column, buckets: int = 0x200) -> Column:
     """The bucket of a name in a string table."""
     return F.crc32(F.encode(column, "UTF-8")).bitwiseAND(F.lit(buckets - 1))

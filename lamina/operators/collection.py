@@ -171,10 +171,7 @@ class Collection:
 
     def with_text(self, df: DataFrame, handle: str, name: str, default: Column | str = "") -> DataFrame:
         """``df`` with the text of a handle as ``name``; the default where there is no handle or no text."""
-        spoken = self.texts.select(F.col("handle").alias("_handle"), F.col("text").alias("_text"))
-        given = F.nullif(F.col(handle), F.lit(""))
-        joined = df.join(spoken, text.handle_key(given) == F.col("_handle"), "left")
-        return joined.withColumn(name, F.coalesce("_text", F.lit(default) if isinstance(default, str) else default)).drop("_handle", "_text")
+        return lookup.resolve_text(df, handle, self.texts, "handle", "text", name, F.lit(default) if isinstance(default, str) else default)
 
     # templates and instances
 

@@ -245,10 +245,15 @@ def resolve_requires(references: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select("file", "line", F.when(found, "warning").otherwise("error").alias("severity"), F.when(found, "require-case").otherwise("require-missing").alias("code"), message.alias("message"))
 
 
-def unknown_references(references: DataFrame, known: DataFrame) -> DataFrame:
-    """Issues of references that name nothing: ``known`` has ``kind, value``; UUIDs are compared in lower case."""
+def lost_references(references: DataFrame, known: DataFrame) -> DataFrame:
+    """References that name nothing: ``known`` has ``kind, value``; UUIDs are compared in lower case."""
     named = references.where("kind <> 'require'").withColumn("key", F.when(F.col("kind") == "uuid", F.lower("value")).otherwise(F.col("value")))
-    lost = named.join(known.select("kind", F.col("value").alias("key")), ["kind", "key"], "left_anti")
+    return named.join(known.select("kind", F.col("value").alias("key")), ["kind", "key"], "left_anti")
+
+
+def unknown_references(references: DataFrame, known: DataFrame) -> DataFrame:
+    """Issues of references that name nothing."""
+    lost = lost_references(references, known)
     what = F.when(F.col("kind") == "uuid", F.format_string("UUID %s names nothing", "value")).otherwise(F.format_string("%s: %s '%s' names nothing", "call", "kind", "value"))
     return lost.select("file", "line", F.lit("warning").alias("severity"), F.concat("kind", F.lit("-unknown")).alias("code"), what.alias("message"))
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.text import stem
+from lamina.functions.text import handle_key, numbered, stem
 
 
 def best_tier(hits: DataFrame, query: str, tier: str) -> DataFrame:
@@ -98,3 +98,40 @@ def first_with_total(df: DataFrame, column: str, cap: int) -> DataFrame:
     """The first ``cap`` values and, with each, how many there are in all; the count is one scalar, not a window."""
     total = df.select(F.count(F.lit(1))).scalar()
     return df.select(column).orderBy(column).limit(cap).withColumn("total", total)
+
+
+def resolve_text(df: DataFrame, handle: str, texts: DataFrame, key: str, text: str, name: str, default: Column) -> DataFrame:
+    """``df`` with ``name``, the text of a handle (up to the first ``;``, without white space around it), else the default."""
+    spoken = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    joined = df.join(spoken, handle_key(F.nullif(F.col(handle), F.lit(""))) == F.col("_key"), "left")
+    return joined.withColumn(name, F.coalesce("_text", default)).drop("_key", "_text")
+
+
+def with_base(instances: DataFrame, templates: DataFrame) -> DataFrame:
+    """Instances with ``base_name`` of the template they are made from; one without ``stats`` has its template's."""
+    base = templates.select(F.col("map_key").alias("_key"), F.col("stats").alias("_stats"), F.coalesce("name", F.lit("")).alias("_name"))
+    joined = instances.join(base, F.col("parent_template") == F.col("_key"), "left")
+    own = F.coalesce(F.nullif("stats", F.lit("")), "_stats", F.lit(""))
+    return joined.withColumns({"stats": own, "base_name": F.coalesce("_name", F.lit(""))}).drop("_key", "_stats", "_name")
+
+
+def solid_places(df: DataFrame, keys: list[str], order: list[str], offset: str, on_disk: str, unpacked: str, begin: int = 7) -> DataFrame:
+    """``df`` with ``place``, where an entry begins in the unpacked frame, and ``due``, whether its offset follows the entry before.
+
+    A window in each archive: an archive's entries are one task's, as they are one frame's.
+    """
+    span = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(span), F.lit(0))
+    return df.withColumns({"place": before(unpacked), "due": F.col(offset) == begin + before(on_disk)})
+
+
+def numbered_slots(df: DataFrame, keys: list[str], name: str, value: str, names: dict[str, str]) -> DataFrame:
+    """``keys, slots``: fields like ``Object 2`` as an array of structs by number (10 after 9, gaps allowed).
+
+    Of several values of one field the greatest counts; fields without a number or of another name are left out.
+    """
+    label, number = numbered(F.col(name))
+    split = df.select(*keys, label.alias("_label"), number.alias("_number"), F.col(value).alias("_value")).where(F.col("_number").isNotNull() & F.col("_label").isin(*names))
+    slots = split.groupBy(*keys, "_number").agg(*[F.max(F.when(F.col("_label") == n, F.col("_value"))).alias(c) for n, c in names.items()])
+    ordered = F.array_sort(F.collect_list(F.struct("_number", *names.values())))
+    return slots.groupBy(*keys).agg(F.transform(ordered, lambda x: F.struct(*[x[c].alias(c) for c in names.values()])).alias("slots"))
