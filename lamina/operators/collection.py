@@ -165,7 +165,7 @@ class Collection:
     def texts(self) -> DataFrame:
         """``handle, version, text``: of each handle the text with the highest version, of equal ones the last."""
         rows = self._text_rows.where("error IS NULL").select(text.handle_key(F.col("handle")).alias("handle"), "version", "text", F.struct("doc", "ord").alias("seq"))
-        best = layers.highest_version(rows, "handle", F.col("version"), "seq", "text").select("handle", "version", F.col("text"))
+        best = layers.highest_version(rows, "handle", F.col("version"), "seq", "text").withColumnRenamed("value", "text")
         seen = rows.where("version >= -1").groupBy("handle").agg(F.min("seq").alias("first_order"))
         return layers._written(best.join(seen, "handle"))
 

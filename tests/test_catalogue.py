@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from lamina.plans import files  # noqa: F401
 from lamina.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
