@@ -71,6 +71,8 @@ class Trie:
             # BPE scores are merge ranks; their logarithm keeps rare pieces comparable
             number[node], weight[node] = own, -theta * math.log2(2.0 - score)
         self.number, self.weight = np.array(number, np.int64), np.array(weight)
+        self.grows = np.zeros(len(number), bool)
+        self.grows[[n for n, _ in moves]] = True
         self.longest = max(map(len, vocabulary), default=1)
         self.crossing = any(MARK in piece.lstrip(MARK) for piece in vocabulary)
         size = 1 << (2 * len(moves) + 1).bit_length()
@@ -130,16 +132,19 @@ class Lattice:
             setattr(self, name, held)
         held[at : at + len(values)] = values
 
-    def places(self, texts_: list[str]) -> list[np.ndarray]:
-        """The first place of each word of normalised texts."""
+    def split(self, text: str) -> list[str]:
+        """The words of a normalised text; the whole text if a piece of the model could cross them."""
+        return UNIT.findall(text) if not self.trie.crossing else [text] if text else []
+
+    def places(self, words: list[list[str]]) -> list[np.ndarray]:
+        """The first place of each word of texts."""
         if self.n_edges > CACHE_EDGES:
             self.clear()
-        split = [[t] if self.trie.crossing else UNIT.findall(t) for t in texts_]
-        new = list(dict.fromkeys(u for units in split for u in units if u not in self.units))
+        known = self.units
+        new = [u for u in set().union(*words) if u not in known]
         for i in range(0, len(new), 20_000):
             self.add(new[i : i + 20_000])
-        get = self.units.__getitem__
-        return [np.fromiter(map(get, units), np.int64, len(units)) for units in split]
+        return [np.fromiter(map(known.__getitem__, own), np.int64, len(own)) for own in words]
 
     def add(self, units: list[str]) -> None:
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -148,14 +153,16 @@ class Lattice:
         left = np.repeat(ends, sizes) - np.arange(n)  # characters up to the word's end
         at, node, found = np.arange(n), np.zeros(n, np.int64), []
         for size in range(1, self.trie.longest + 1):
-            inside = left[at] >= size
-            at, node = at[inside], node[inside]
             node = self.trie.step(node, chars[at + size - 1])
-            at, node = at[node >= 0], node[node >= 0]
-            if not len(at):
+            on = np.flatnonzero(node >= 0)
+            at, node = at[on], node[on]
+            piece = np.flatnonzero(self.trie.number[node] >= 0)
+            ending = node[piece]
+            found.append((at[piece], np.full(len(piece), size), self.trie.number[ending], self.trie.weight[ending]))
+            on = np.flatnonzero((left[at] > size) & self.trie.grows[node])
+            if not len(on):
                 break
-            piece = self.trie.number[node] >= 0
-            found.append((at[piece], np.full(int(piece.sum()), size), self.trie.number[node[piece]], self.trie.weight[node[piece]]))
+            at, node = at[on], node[on]
         whole = np.ones(n, bool)
         if found:
             whole[found[0][0][found[0][1] == 1]] = False
@@ -217,10 +224,10 @@ class Lattice:
             out[begin[who] + step] = edge
         return out, steps
 
-    def draw(self, texts_: list[str], keys: list[int], count: int) -> list[Search]:
-        """Searches with up to ``count`` paths of each text, by falling perturbed value. Every step works on all texts at once."""
+    def draw(self, words: list[list[str]], keys: list[int], count: int) -> list[Search]:
+        """Searches with up to ``count`` paths of each text (its words), by falling perturbed value. Every step works on all texts at once."""
         seeds = K.splitmix(np.array([k & (2**64 - 1) for k in keys], np.uint64))
-        searches = [Search(self, w, s) for w, s in zip(self.places(texts_), seeds)]
+        searches = [Search(self, w, s) for w, s in zip(self.places(words), seeds)]
         for rank in range(count):
             waiting = [(s, branch) for s in searches if (branch := s.branch(rank)) is not None]
             if not waiting:
@@ -247,8 +254,10 @@ class Lattice:
         logq = self.logq[path]
         total = np.cumsum(logq)
         base = total[offset] - logq[offset]
-        with np.errstate(divide="ignore"):
-            mass = total - logq - np.repeat(base, lengths) + np.log(-np.expm1(logq))
+        mass = np.full(len(path), -np.inf)
+        some = np.flatnonzero(logq < 0.0)
+        own = logq[some]
+        mass[some] = total[some] - own - np.repeat(base, lengths)[some] + np.log(-np.expm1(own))
         values = np.array([b.value for _, b in waiting])
         logp = total[offset + lengths - 1] - base
         ids = self.ids[path]
@@ -258,8 +267,11 @@ class Lattice:
             if branch.step >= 0:
                 mass[at : at + branch.step] = -np.inf  # those leave an earlier path and are its sets
                 mass[at + branch.step] = float(total[at + branch.step] - logq[at + branch.step] - base[np.searchsorted(offset, at)]) + self.rest(path[at + branch.step], branch.out)
-        noise = gumbel(uniform(mixed(np.repeat(seeds, lengths), 3 * rank + 1, np.arange(len(path)) - np.repeat(offset, lengths)), 0))
-        held = -np.logaddexp(-np.repeat(values, lengths), -(mass + noise))
+        open_ = np.flatnonzero(mass > -np.inf)  # steps at which there was a choice
+        owner = np.searchsorted(offset, open_, "right") - 1
+        noise = gumbel(uniform(mixed(seeds[owner], 3 * rank + 1, open_ - offset[owner]), 0))
+        held = np.full(len(path), -np.inf)
+        held[open_] = -np.logaddexp(-values[owner], -(mass[open_] + noise))
         for _ in range(wanted):
             top = np.maximum.reduceat(held, offset)
             hit = np.flatnonzero(held == np.repeat(top, lengths))
@@ -283,14 +295,13 @@ class Lattice:
         left = [self.logq[e] for e in self.edges_of(self.owner[edge]) if e not in out]
         return float(np.logaddexp.reduce(left)) if left else -math.inf
 
-    def spell(self, ids: np.ndarray, byte_ids: list[int]) -> list[int]:
+    def spell(self, ids: np.ndarray, byte_ids: list[int]) -> np.ndarray:
         """Vocabulary ids, with the bytes of characters that have no piece."""
-        spelt, out, begin = ids.tolist(), [], 0
+        out, begin = [], 0
         for i in np.flatnonzero(ids < 0).tolist():
-            out += spelt[begin:i]
-            out += [byte_ids[b] for b in chr(-1 - spelt[i]).encode()]
+            out += [ids[begin:i], np.array([byte_ids[b] for b in chr(-1 - int(ids[i])).encode()], np.int32)]
             begin = i + 1
-        return out + spelt[begin:] if begin else spelt
+        return np.concatenate([*out, ids[begin:]]) if begin else ids
 
 
 def mixed(seed: np.ndarray | np.uint64, use: int, place: np.ndarray) -> np.ndarray:
@@ -363,20 +374,23 @@ def inclusion(logp: float, threshold: float) -> float:
     return -math.expm1(-math.exp(min(logp - threshold, 50.0)))
 
 
-def sample_many(texts_: list[str], keys: list[int], count: int, path: str, theta: float = TEMPERATURE) -> list[list[tuple[list[int], float, float]]]:
-    """``count`` distinct segmentations of each whole text at most: ids, log-probability, inclusion score."""
-    model, _, byte_ids = load(path)
-    lattice = lattice_of(path, theta)
+Drawn = list[tuple[np.ndarray, float, float]]
+
+
+def sample_words(words: list[list[str]], keys: list[int], count: int, path: str, theta: float = TEMPERATURE) -> list[Drawn]:
+    """``count`` distinct segmentations of each whole text (its normalised words) at most: ids, log-probability, inclusion score."""
+    byte_ids, lattice = load(path)[2], lattice_of(path, theta)
     out = []
-    for search in lattice.draw([model.normalize(t) for t in texts_], keys, count):
+    for search in lattice.draw(words, keys, count):
         least = search.threshold()
-        out.append([(lattice.spell(ids, byte_ids), p, inclusion(p, least)) for _, p, _, ids in search.paths] or [([], 0.0, 1.0)])
+        out.append([(lattice.spell(ids, byte_ids), p, inclusion(p, least)) for _, p, _, ids in search.paths] or [(np.zeros(0, np.int32), 0.0, 1.0)])
     return out
 
 
 def sample(text: str, key: int, count: int, path: str, theta: float = TEMPERATURE) -> list[tuple[list[int], float, float]]:
     """The same for one text."""
-    return sample_many([text], [key], count, path, theta)[0]
+    words = lattice_of(path, theta).split(load(path)[0].normalize(text))
+    return [(ids.tolist(), logp, share) for ids, logp, share in sample_words([words], [key], count, path, theta)[0]]
 
 
 PIECES = "doc_id long, rank int, ids array<int>, logp double, inclusion double, decoded string"
@@ -386,25 +400,33 @@ def encode(docs: DataFrame, samples: int = 2, model: str = "piece_bpe_32k.model"
     """Segmentations of every whole text: ``doc_id, rank, ids, logp, inclusion, decoded``.
 
     Rank 0 is the library's own encoding (``logp`` null, ``inclusion`` 1), ranks from 1 are sampled. ``decoded`` is
-    the text that the library gives back for the ids. A null or empty text has empty ids. A null key seeds as -1;
-    repeated rows repeat; other columns are ignored. An empty table gives no rows.
+    the text that the library gives back for the ids of rank 0; a sampled path spells the same normalised text, so it
+    has the same. A null or empty text has empty ids. A null key seeds as -1; repeated rows repeat; other columns are
+    ignored. An empty table gives no rows.
     """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = locate(model)
-        processor = load(path)[0]
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.string()]
-        names = [c.split()[0] for c in PIECES.split(", ")]
+        processor, lattice = load(path)[0], lattice_of(path, TEMPERATURE)
 
         def work(keys: list[int | None], held: list[str]) -> pa.RecordBatch:
-            rows = []
-            drawn = sample_many(held, [-1 if k is None else k for k in keys], samples, path) if samples else [[]] * len(held)
-            for key, text, own in zip(keys, held, drawn):
-                ids = processor.encode(text)
-                rows.append((key, 0, ids, None, 1.0, processor.decode(ids)))
-                rows += [(key, rank, found, logp, share, processor.decode(found)) for rank, (found, logp, share) in enumerate(own, start=1)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            words = [lattice.split(processor.normalize(text)) for text in held]
+            drawn = sample_words(words, [-1 if k is None else k for k in keys], samples, path) if samples else [[]] * len(held)
+            ids, texts_, logps, shares, counts = [], [], [], [], []
+            for text, own in zip(held, drawn):
+                best = processor.encode(text)
+                ids += [np.array(best, np.int32), *(found for found, _, _ in own)]
+                texts_ += [processor.decode(best)] * (1 + len(own))
+                logps += [None, *(logp for _, logp, _ in own)]
+                shares += [1.0, *(share for _, _, share in own)]
+                counts.append(1 + len(own))
+            counts = np.array(counts)
+            rank = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+            key = pa.array(keys, pa.int64()).take(pa.array(np.repeat(np.arange(len(keys)), counts)))
+            return pa.RecordBatch.from_arrays([key, pa.array(rank.astype(np.int32)), lists, pa.array(logps, pa.float64()), pa.array(shares), pa.array(texts_, pa.string())], names=[c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
             keys, held, size = [], [], 0
@@ -412,7 +434,7 @@ def encode(docs: DataFrame, samples: int = 2, model: str = "piece_bpe_32k.model"
                 keys.append(key)
                 held.append(text)
                 size += len(text)
-                if size > 1 << 20:
+                if size > 1 << 18:  # arrays of that many steps stay near the processor
                     yield work(keys, held)
                     keys, held, size = [], [], 0
             if keys:

@@ -18,8 +18,8 @@ def search(text, count, seed, theta=1.0):
     from lamina.llm.pieces import Lattice, Trie
 
     lattice = Lattice(Trie(VOCABULARY, theta), theta)
-    (found,) = lattice.draw([text], [seed], count + 1)
-    return [(tuple(lattice.spell(ids, [0] * 256)), logp, top) for _, logp, top, ids in found.paths]
+    (found,) = lattice.draw([lattice.split(text)], [seed], count + 1)
+    return [(tuple(lattice.spell(ids, [0] * 256).tolist()), logp, top) for _, logp, top, ids in found.paths]
 
 
 def every_path(text, pieces, theta):
@@ -29,7 +29,7 @@ def every_path(text, pieces, theta):
     sizes = [n for n in range(1, len(text) + 1) if text[:n] in pieces]
     heads = [((pieces[text[:n]][0],), -theta * math.log2(2.0 - pieces[text[:n]][1]), n) for n in sizes]
     if 1 not in sizes:
-        heads.append((tuple(f"byte {b}" for b in text[0].encode()), min(-1.0, theta * -40.0), 1))
+        heads.append((tuple(1000 + b for b in text[0].encode()), min(-1.0, theta * -40.0), 1))
     return [(ids + rest, w + more) for ids, w, n in heads for rest, more in every_path(text[n:], pieces, theta)]
 
 
@@ -39,10 +39,10 @@ def test_all_paths_of_short_texts(text):
     from lamina.llm.pieces import Lattice, Trie
 
     lattice = Lattice(Trie(pieces, 0.7), 0.7)
-    (found,) = lattice.draw([text], [5], 1000)
+    (found,) = lattice.draw([lattice.split(text)], [5], 1000)
     wanted = every_path(text, pieces, 0.7)
     whole = math.log(sum(math.exp(w) for _, w in wanted))
-    got = {tuple(lattice.spell(ids, [f"byte {b}" for b in range(256)])): p for _, p, _, ids in found.paths}
+    got = {tuple(lattice.spell(ids, list(range(1000, 1256))).tolist()): p for _, p, _, ids in found.paths}
     assert len(got) == len(found.paths) == len(wanted) and found.threshold() == -math.inf
     assert all(math.isclose(got[ids], w - whole, abs_tol=1e-9) for ids, w in wanted)
 
@@ -78,3 +78,19 @@ def test_long_texts_are_sampled_whole():
     assert all(load(path)[0].decode(ids).strip() == text.strip() for ids, _, _ in found)
     assert all(0 <= share <= 1 for _, _, share in found)
     assert sample("", 1, 2, path) == [([], 0.0, 1.0)]
+
+
+def test_encode_keeps_every_row(spark):
+    from lamina.llm.pieces import encode, load
+    from lamina.llm.tokens import tokenizer_path
+
+    model = load(tokenizer_path("piece_bpe_32k.model"))[0]
+    rows = [(1, "Some plain text\nwith \u4e2d\u6587 and <s>", "x"), (1, "Some plain text\nwith \u4e2d\u6587 and <s>", "x"), (2, None, "x"), (3, "", None), (None, "no key here", "x"), (4, "long " * 5000, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    got = [r.asDict() for r in encode(frame).collect()]
+    best = sorted((r["doc_id"] or -1, r["ids"]) for r in got if r["rank"] == 0)
+    assert best == sorted((k or -1, model.encode(t or "")) for k, t, _ in rows)
+    for r in got:
+        assert model.decode(r["ids"]) == r["decoded"] and 0 < r["inclusion"] <= 1 or r["doc_id"] == 4
+    assert sum(r["rank"] == 2 for r in got) == 4 and len(got) == 3 * 4 + 2 * 2
+    assert encode(frame.limit(0)).count() == 0
