@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,14 +22,17 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import tune
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The rest of a tag: quoted values may hold its end. Where a quote never closes, that tag and all after it end at the next ">".
+REST = re.compile(r"((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+LOOSE_REST = re.compile(r"([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: A last slash that belongs to an unquoted value, so it does not close the element.
 UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*/\Z")
 INVISIBLE_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = frozenset("head script style template noscript title iframe object svg annotation annotation-xml datalist audio video canvas".split())
+NEVER_SHOWN = frozenset("head script style template noscript title iframe desc metadata defs annotation annotation-xml datalist audio video canvas".split())
 FOREIGN = frozenset("svg math".split())
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
@@ -43,6 +47,10 @@ IMPLIED = {
 }
 
 
+#: Parts of tables, which alone may end a cell or table from inside it, and the elements that keep other end tags in.
+TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
+
+
 class Sheet:
     """Rendered lines under construction: pending breaks collapse, white space collapses outside ``pre``."""
 
@@ -79,7 +87,7 @@ class Renderer:
         self.hidden = 0
         self.sheets = [Sheet()]
         self.lists: list[int | None] = []  # next number, or None for bullets
-        self.tables: list[list[list[str]]] = []
+        self.tables: list[list[list[list[str]]]] = []  # rows of cells of lines
         self.pre = 0
 
     def write(self, text: str) -> None:
@@ -141,9 +149,11 @@ class Renderer:
         return True
 
     def end(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.stack):
-            while self._pop() != tag:
-                pass
+        within = frozenset({"table"}) if tag in TABLE_PARTS else TABLE_PARTS
+        place = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag or self.stack[i][0] in within), -1)
+        if place >= 0 and self.stack[place][0] == tag:
+            while len(self.stack) > place:
+                self._pop()
         elif tag in ("p", "br") and not self.hidden:
             self.sheets[-1].need(2 if tag == "p" else 1)
 
@@ -169,13 +179,14 @@ class Renderer:
             rows = self.tables[-1]
             if not rows:
                 rows.append([])
-            rows[-1].append(" ".join(cell.split()))
+            rows[-1].append([line.rstrip() for line in cell.split("\n") if line.strip()])
         elif tag == "table" and self.tables:
             rows = self.tables.pop()
-            widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
+            widths = [max((len(line) for r in rows if i < len(r) for line in r[i]), default=0) for i in range(max(map(len, rows), default=0))]
             for row in rows:
-                self.sheets[-1].need(1)
-                self.sheets[-1].raw("  ".join(c.ljust(w) for c, w in zip(row, widths)).rstrip())
+                for lines in zip_longest(*row, fillvalue="") if any(row) else [[""] * len(row)]:
+                    self.sheets[-1].need(1)
+                    self.sheets[-1].raw("  ".join(c.ljust(w) for c, w in zip(lines, widths)).rstrip())
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
         self.sheets[-1].need(2 if tag in SPACED else 1 if tag in BLOCK else 0) if tag in SPACED or tag in BLOCK else None
@@ -196,7 +207,7 @@ class Renderer:
 
 def render(html: str) -> str:
     """All visible text of a page; malformed markup never fails, an unclosed comment ends the page."""
-    out, at = Renderer(), 0
+    out, at, rest_of = Renderer(), 0, REST
     while True:
         m = TOKEN.search(html, at)
         if not m:
@@ -206,11 +217,19 @@ def render(html: str) -> str:
         at = m.end()
         if not m.group(2):
             continue
+        rest = rest_of.match(html, at)
+        if not rest:
+            rest_of = LOOSE_REST
+            rest = rest_of.match(html, at)
+        if not rest:
+            out.write(html[m.start() :])
+            return out.finish()
+        at = rest.end()
         tag = m.group(2).lower()
         if m.group(1):
             out.end(tag)
             continue
-        if out.start(tag, m.group(3)) and tag in RAW:
+        if out.start(tag, rest.group(1)) and tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
             out.write(html[at : close.start() if close else len(html)])
             at = close.end() if close else len(html)
