@@ -91,6 +91,23 @@ def membership(keys: DataFrame, *names: str) -> np.ndarray:
     return bits(keys.select(slot(*names).alias("at")))
 
 
+def sampled(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """About ``size`` of the rows (all of fewer), the same ones however they are dealt out: those whose keys have the least hashes."""
+    total = rows.count()
+    share = min(1.0, size / max(total, 1))
+    return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
+def even_borders(values: DataFrame, column: str, ranges: int) -> np.ndarray:
+    """At most ``ranges - 1`` distinct values that cut the rows into ranges of like size; repeated rows count as often as they occur."""
+    counted = values.groupBy(column).count().orderBy(column).toArrow()
+    at, total = counted.column(0).to_numpy(), np.cumsum(counted.column(1).to_numpy())
+    if not len(at):
+        return np.zeros(0, np.int64)
+    places = np.searchsorted(total, total[-1] * np.arange(1, ranges) / ranges)
+    return np.unique(at[places].astype(np.int64))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import kernels as K
-from lamina.llm.common import partitions, texts, tune
+from lamina.llm.common import even_borders, partitions, sampled, texts, tune
 from lamina.llm.tokens import id_encoder, tokenizer_path
 
 DIMENSIONS = 4
@@ -134,16 +134,14 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_50k.json"
 
     Each document is its ids followed by ``end_id``; a null or empty text is that one id. Repeated rows are packed
     as often as they occur; a null key is kept; other columns are ignored. An empty table gives no piece.
-    Sequence ids are ``range << 40 | position`` and do not depend on task placement.
+    Sequence ids are ``range << 40 | position``; they and the pieces depend on the rows and the number of ranges alone.
     """
     spark = docs.sparkSession
     tune(spark)
     source = texts(docs)
     n_ranges = partitions(spark)
-    rows = docs.count()
-    fraction = 1.0 if rows <= BORDER_SAMPLE else BORDER_SAMPLE / rows
-    drawn = source.sample(fraction, seed=7).mapInArrow(lambda b: _keyed(b, None), "place long")
-    borders = np.unique(np.array(drawn.approxQuantile("place", [i / n_ranges for i in range(1, n_ranges)], 0.001) if rows else [], np.int64))
+    drawn = sampled(source, BORDER_SAMPLE, "doc_id", "text").mapInArrow(lambda b: _keyed(b, None), "place long")
+    borders = even_borders(drawn, "place", n_ranges)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = id_encoder(locate(tokenizer), locate(ranks))
@@ -164,7 +162,7 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_50k.json"
             yield _piece_batch(rows)
 
     keyed = source.mapInArrow(lambda b: _keyed(b, borders), "doc_id long, text string, place long, part int")
-    ordered = keyed.repartition(n_ranges, "part").sortWithinPartitions("part", "place", "doc_id", F.xxhash64("text"))
+    ordered = keyed.repartitionById(n_ranges, F.col("part")).sortWithinPartitions("part", "place", "doc_id", F.xxhash64("text"))
     return ordered.select("doc_id", "text", "part").mapInArrow(lay, PIECES)
 
 
