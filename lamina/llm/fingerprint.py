@@ -13,16 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import kernels as K
-from lamina.llm.common import partitions, texts, tune
+from lamina.llm.common import even_borders, partitions, sampled, texts, tune
 from lamina.llm.neardup import shingle_sets
 
 SIZE = 128
 WIDTH = 6
 SPAN = float(1 << 48)
+#: Rows without a key stand behind all others.
+NO_KEY = -(2**63)
+#: Rows drawn for the borders of ranges; they steer balance only.
+BORDER_SAMPLE = 5000
 
 
 def least(hashes: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -121,32 +125,47 @@ def against_next(docs: DataFrame, k: int = 5, size: int = SIZE) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     source = texts(docs)
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     n_ranges = partitions(spark)
-    keys = source.select(order.alias("o"))
-    cuts = sorted(set(keys.approxQuantile("o", [i / n_ranges for i in range(1, n_ranges)], 0.001) or []), reverse=True)
-    # range 0 holds the largest keys; a key equal to a border opens the range after it
-    heads = keys.select(_range_of(F.col("o"), cuts).alias("part"), "o").groupBy("part").agg(F.max("o").alias("head"))
+    order = F.coalesce(F.col("doc_id"), F.lit(NO_KEY)).alias("o")
+    borders = even_borders(sampled(source.select(order), BORDER_SAMPLE, "o"), "o", n_ranges)
+    keyed = source.select("doc_id", "text", order)
+    heads = keyed.select("o").mapInArrow(lambda b: _heads(b, borders), "part int, head long").groupBy("part").agg(F.max("head").alias("head"))
     opening = {r["part"]: r["head"] for r in heads.collect()}  # one row for each range
-    used = sorted(opening)
-    before = {p: used[i - 1] for i, p in enumerate(used)}
-    own = _range_of(order, cuts)
-    if used:
-        target = F.create_map(*[F.lit(x) for p in used for x in (opening[p], before[p])])
-        places = F.when(order.isin([opening[p] for p in used]), F.array(F.struct(own.alias("part"), F.lit(False).alias("ghost")), F.struct(F.try_element_at(target, order).alias("part"), F.lit(True).alias("ghost"))))
-        places = places.otherwise(F.array(F.struct(own.alias("part"), F.lit(False).alias("ghost"))))
-    else:
-        places = F.array(F.struct(own.alias("part"), F.lit(False).alias("ghost")))
-    placed = source.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.part", "place.ghost")
-    ordered = placed.repartition(n_ranges, "part").sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "text")
+    placed = keyed.mapInArrow(lambda b: _placed(b, borders, opening), "doc_id long, text string, part int, ghost boolean")
+    ordered = placed.repartitionById(n_ranges, F.col("part")).sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "text")
     return ordered.mapInArrow(lambda b: _compare(b, k, size), NEXT)
 
 
-def _range_of(order: Column, cuts: list[float]) -> Column:
-    """Number of borders at or above a key, by one binary search in a literal array of the (bounded) borders."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c >= order))
+def _part(keys: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Range 0 holds the largest keys; a key equal to a border opens the range after it."""
+    return (len(borders) - np.searchsorted(borders, keys, "left")).astype(np.int32)
+
+
+def _heads(batches: Iterator[pa.RecordBatch], borders: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The largest key of each range in a task's rows."""
+    most = np.full(len(borders) + 1, np.iinfo(np.int64).min)
+    seen = np.zeros(len(borders) + 1, bool)
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        part = _part(keys, borders)
+        np.maximum.at(most, part, keys)
+        seen[part] = True
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(most[at])], names=["part", "head"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], borders: np.ndarray, opening: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows with their range, and once more, as ghosts, the rows that open a range for the range before it."""
+    used = sorted(opening)
+    before = {p: used[i - 1] for i, p in enumerate(used)}
+    for batch in batches:
+        keys = batch.column(2).to_numpy()
+        part = _part(keys, borders)
+        ghosts = [i for i, p in enumerate(part.tolist()) if keys[i] == opening[p]]
+        take = pa.array(np.concatenate((np.arange(len(keys)), np.array(ghosts, np.int64))))
+        parts = np.concatenate((part, np.array([before[int(part[i])] for i in ghosts], np.int32)))
+        ghost = np.arange(len(parts)) >= len(keys)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(parts), pa.array(ghost)], names=["doc_id", "text", "part", "ghost"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int, size: int) -> Iterator[pa.RecordBatch]:
