@@ -1 +1 @@
-
+"""Extraction that goes on as archives arrive."""
