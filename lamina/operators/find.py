@@ -100,7 +100,7 @@ class _Sections:
         if entries["error"]:
             raise ValueError(f"{name!r}: {entries['error']}")
         lines = [f"{pad}stats entry {name}"] + [f"{pad}  {label}: {value}" for label, value in (("type", own["type"]), ("using", own["using"])) if value]
-        data = list(entries["data"].items())
+        data = [(e["key"], e["value"]) for e in entries["entries"]]
         lines += [f"{pad}  {k}: {v}" for k, v in data[:MOST_FIELDS]]
         return "\n".join(lines + [f"{pad}  … {len(data) - MOST_FIELDS} more fields"] * (len(data) > MOST_FIELDS))
 

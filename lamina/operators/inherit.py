@@ -51,10 +51,11 @@ def cyclic_names(graph: DataFrame) -> DataFrame:
 
 
 def resolved(graph: DataFrame) -> DataFrame:
-    """``name, data, error``: all entries of a name in order as a map; an error in place of data where its chain is a cycle."""
-    each = F.array_sort(F.collect_list(F.struct("place", "key", "value")))
-    maps = resolved_entries(graph).groupBy("name").agg(F.map_from_entries(F.transform(each, lambda x: F.struct(x["key"], x["value"]))).alias("data"))
+    """``name, entries, data, error``: all entries of a name in order, as structs and as a map; an error in their place where its chain is a cycle."""
+    each = F.transform(F.array_sort(F.collect_list(F.struct("place", "key", "value"))), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    held = resolved_entries(graph).groupBy("name").agg(each.alias("entries"))
     cyclic = cyclic_names(graph).select("name", F.lit("inheritance cycle").alias("error"))
-    out = graph.where("latest").select("name").join(maps, "name", "left").join(cyclic, "name", "left")
-    empty = F.expr("cast(map() as map<string,string>)")
-    return out.select("name", F.when(F.col("error").isNull(), F.coalesce("data", empty)).alias("data"), "error")
+    out = graph.where("latest").select("name").join(held, "name", "left").join(cyclic, "name", "left")
+    none = F.expr("cast(array() as array<struct<key:string,value:string>>)")
+    out = out.withColumn("entries", F.when(F.col("error").isNull(), F.coalesce("entries", none)))
+    return out.select("name", "entries", F.map_from_entries("entries").alias("data"), "error")

@@ -236,7 +236,7 @@ def _scan(batches: Iterator[pa.RecordBatch], references: bool) -> Iterator[pa.Re
 
 def resolve_requires(references: DataFrame, files: DataFrame) -> DataFrame:
     """Issues of required files: ``files`` has ``mod, path`` below the script folder. Exact, else but for case, else missing."""
-    wanted = references.where("kind = 'require'").withColumn("path", F.regexp_replace("value", r"(^|/)(?:\./)+", "$1"))
+    wanted = references.where("kind = 'require'").withColumn("path", F.regexp_replace(F.regexp_replace("value", "/+", "/"), r"(^|/)(?:\./)+", "$1"))
     exact = wanted.join(files, ["mod", "path"], "left_anti")
     loose = files.groupBy("mod", F.lower("path").alias("low")).agg(F.min("path").alias("actual"))
     joined = exact.withColumn("low", F.lower("path")).join(loose, ["mod", "low"], "left")

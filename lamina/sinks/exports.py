@@ -32,10 +32,14 @@ def recipe_rows(recipes: DataFrame) -> DataFrame:
 def write_json(rows: DataFrame, path: str | Path) -> int:
     """One JSON array in row order; rows come to the driver one at a time. Returns their number."""
     written = 0
+    maps = [f.name for f in rows.schema if f.dataType.typeName() == "map"]
+    rows = rows.withColumns({m: F.map_entries(m) for m in maps})  # a map's order is lost on its way to the driver
     with open(path, "w", encoding="utf-8") as out:
         out.write("[")
         for row in rows.toLocalIterator():
-            text = json.dumps(row.asDict(recursive=True), indent=1, ensure_ascii=False)
+            held = row.asDict(recursive=True)
+            held |= {m: {e["key"]: e["value"] for e in held[m]} for m in maps if held[m] is not None}
+            text = json.dumps(held, indent=1, ensure_ascii=False)
             out.write(("," if written else "") + "\n " + text.replace("\n", "\n "))
             written += 1
         out.write("\n]\n" if written else "]\n")

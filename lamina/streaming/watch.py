@@ -55,7 +55,7 @@ def extract_new(spark: SparkSession, folder: str, target: str, state: str) -> in
     def put(batch: DataFrame, number: int) -> None:
         files = unpacked(batch).groupBy("name").agg(F.max_by("content", F.struct("time", "archive")).alias("content"))
         done = extract_changed(files, target, known().select("name", "sha256"))
-        done.withColumn("batch", F.lit(number).cast("long")).write.mode("append").partitionBy("written").parquet(f"{manifest}-log/{number:09d}")
+        done.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{manifest}-log/{number:09d}")
         rows = spark.read.parquet(f"{manifest}-log/{number:09d}").where("written")
         rows.select("name", "sha256", "batch").write.mode("append").parquet(manifest)
         written.append(rows.count())
