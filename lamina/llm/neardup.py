@@ -39,7 +39,7 @@ LEVELS = 6
 #: Shortest common prefix (levels) of a candidate: at similarity 0.8 an order shows it with probability 0.51.
 MIN_LEVELS = 3
 #: Rows looked at on either side in an order; longer runs are crowded.
-REACH = 512
+REACH = 1024
 HASHES = TREES * LEVELS
 #: Equal 2-bit minima of 96 below which a pair is 5 standard deviations under similarity 0.8.
 MIN_EQUAL = 64
