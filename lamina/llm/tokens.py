@@ -11,6 +11,7 @@ boundaries are not provably safe (unusual scripts, special strings).
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -20,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lamina.llm.common import texts, tune
+from lamina.llm import kernels as K
+from lamina.llm.common import spread, texts, tune
 
 #: Anything outside printable ASCII, tab, newline, return and precomposed Latin letters and signs.
 UNUSUAL = re.compile("[^\x20-\x7e\t\n\r\xa1-\u012f\u0131-\u017f]")
@@ -69,11 +71,29 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+# The steps before the merges for which ``PIECES`` gives the units of texts of usual characters.
+UNIT_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 class UnitCounter:
-    """Token counts by pre-token, for a lower-casing tokenizer whose pre-tokenizer drops white space."""
+    """Token counts by pre-token where the vocabulary file's steps are ``UNIT_STEPS``; by the library for any other file."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
+        held = json.loads(self.tokenizer.to_str())
+        marked = all("<|" in t["content"] for t in held["added_tokens"])
+        self.by_unit = (held["normalizer"], held["pre_tokenizer"]) == UNIT_STEPS and marked
+        # parts of one text may be encoded apart only if nothing is put in front of a text and spaces begin units
+        self.cuts = self.by_unit or (held["normalizer"] is None and held["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
         self.spelling = byte_alphabet()
         self.cache: dict[str, int] = {}
 
@@ -83,35 +103,27 @@ class UnitCounter:
 
     def counts(self, batch: list[str]) -> list[int]:
         """Token counts of texts; a batch is held to ``BATCH_BYTES`` by the caller."""
-        units = [None if "<|" in t or UNUSUAL.search(t) else PIECES.findall(t.lower()) for t in batch]
+        units = [None if not self.by_unit or "<|" in t or UNUSUAL.search(t) else PIECES.findall(t.lower()) for t in batch]
         if len(self.cache) > CACHE_UNITS:
             self.cache = {}
         known = self.cache
         for unit in {u for us in units if us is not None for u in us if u not in known}:
             known[unit] = self.length(unit)
         get = known.__getitem__
-        out = []
-        for text, us in zip(batch, units):
-            if us is not None:
-                out.append(sum(map(get, us)))
-            else:
-                parts = library_parts(text)
-                out.append(sum(map(len, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))))
-        return out
-
-
-def byte_batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Texts in runs of about ``limit`` characters, so that no encode call is dominated by one batch."""
-    run, size = [], 0
-    for value in column:
-        text = value.as_py() or ""
-        run.append(text)
-        size += len(text)
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+        # all other texts go to the library in one batch
+        parts = [library_parts(t) if self.cuts else [t] for t, us in zip(batch, units) if us is None]
+        lengths = iter(map(len, self.tokenizer.encode_batch_fast([p for own in parts for p in own], add_special_tokens=False)) if parts else ())
+        rest = iter(parts)
+        return [sum(next(lengths) for _ in next(rest)) if us is None else sum(map(get, us)) for us in units]
+
+
+def byte_batches(column: pa.Array, sizes: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """Texts in runs of ``limit`` bytes (one text at least), so that batches cost about the same."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield column.slice(at, to - at).to_pylist()
+        at = to
 
 
 @lru_cache(maxsize=2)
@@ -131,15 +143,15 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
         counter = unit_counter(locate(tokenizer))
         for batch in batches:
             column = batch.column(1)
-            n_tokens = [n for run in byte_batches(column) for n in counter.counts(run)]
-            n_bytes = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)) if len(column) else np.zeros(0, np.int32)
+            n_bytes = np.diff(K.string_buffers(column)[1])
+            n_tokens = [n for run in byte_batches(column, n_bytes) for n in counter.counts(run)]
             tokens = np.array(n_tokens, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes.astype(np.int64)), pa.array(tokens), pa.array(tokens > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return texts(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return spread(texts(docs)).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 class IdEncoder:

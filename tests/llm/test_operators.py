@@ -49,6 +49,22 @@ def test_token_counts(docs):
     assert got == want
 
 
+def test_token_counts_of_any_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    from lamina.llm.tokens import token_counts, tokenizer_path
+
+    signs = ["a", "B", "7", " ", "\n", "\u00e9", "\u4e2d", "'s", "<|endoftext|>", "\u0130", "e\u0301", "!?", "  ", "word ", "\U0001f600"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(120))) for _ in range(400)] + ["some plain words " * 9000, "\u4e2d" * 70000, "<|endoftext|>" * 3000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        library = Tokenizer.from_file(tokenizer_path(name))
+        got = {r["doc_id"]: (r["n_tokens"], r["n_bytes"], r["over_limit"]) for r in token_counts(frame, name).collect()}
+        for i, text in enumerate(texts):
+            n = len(library.encode(text, add_special_tokens=False).ids)
+            assert got[i] == (n, len(text.encode()), n > 2048), (name, text[:50])
+
+
 def test_license_base(docs):
     from lamina.llm.licenses import BASE_PHRASES, WORD, scan
 
