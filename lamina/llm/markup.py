@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import tune
+from lamina.llm.common import spread, tune
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 #: The rest of a tag: quoted values may hold its end. Where a quote never closes, that tag and all after it end at the next ">".
@@ -248,4 +248,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(h) for h in batch.column(1).to_pylist()], pa.string())], names=["page_id", "text"])
 
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    return source.mapInArrow(run, "page_id long, text string")
+    return spread(source).mapInArrow(run, "page_id long, text string")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import kernels as K
-from lamina.llm.common import fresh, materialise, membership, partitions, passes, release, slot, texts, tune
+from lamina.llm.common import fresh, materialise, membership, partitions, passes, release, slot, spread, texts, tune
 from lamina.llm.components import components, extend
 
 TREES = 16
@@ -456,7 +456,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, reach: int =
     spark = docs.sparkSession
     tune(spark)
     source = texts(docs)
-    signed = materialise(source.mapInArrow(lambda b: _sign(b, k), SIGNED))
+    signed = materialise(spread(source).mapInArrow(lambda b: _sign(b, k), SIGNED))
     sets = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # equal sets have equal signatures, so any row's stand for the class
     classes = materialise(sets.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lamina.llm import kernels as K
-from lamina.llm.common import texts, tune
+from lamina.llm.common import spread, texts, tune
 from lamina.llm.tokens import tokenizer_path
 
 TEMPERATURE = 0.1
@@ -440,4 +440,4 @@ def encode(docs: DataFrame, samples: int = 2, model: str = "piece_bpe_32k.model"
             if keys:
                 yield work(keys, held)
 
-    return texts(docs).mapInArrow(run, PIECES)
+    return spread(texts(docs)).mapInArrow(run, PIECES)

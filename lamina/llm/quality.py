@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import kernels as K
-from lamina.llm.common import texts, tune
+from lamina.llm.common import spread, texts, tune
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "upper", "digits", "symbols", "marks", "exclaim", "pipes", "other_ascii", "non_ascii",
@@ -211,6 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Boosted
     return fit_boosted(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(float))
 
 
+def text_scores(model: Boosted, column: pa.Array) -> np.ndarray:
+    """The score of each text of a column."""
+    data, offsets = K.string_buffers(column)
+    return np.concatenate([np.zeros(0), *(model.scores(statistics(part, own)) for _, _, part, own in K.slices(data, offsets))])
+
+
 def classify(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_from: float = KEEP_FROM) -> DataFrame:
     """Score every whole text: ``doc_id, held_out, score, predicted``.
 
@@ -222,25 +228,21 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_fr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.string_buffers(batch.column(1))
-            scores = [model.scores(statistics(part, own)) for _, _, part, own in K.slices(data, offsets)]
-            value = np.concatenate(scores) if scores else np.zeros(0)
+            value = text_scores(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), pa.array((value >= keep_from).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = texts(docs).mapInArrow(score, "doc_id long, score double, predicted int")
+    scored = spread(texts(docs)).mapInArrow(score, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text is predicted to be of label 1."""
+    """The rows of ``docs`` (all columns) whose text is predicted to be of label 1; a null text counts as empty, repeated rows repeat."""
     tune(docs.sparkSession)
     model = train(docs, labels, bound)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.string_buffers(batch.column(at))
-            scores = [model.scores(statistics(part, own)) for _, _, part, own in K.slices(data, offsets)]
-            yield batch.filter(pa.array(np.concatenate(scores) >= keep_from if scores else np.zeros(0, bool)))
+            yield batch.filter(pa.array(text_scores(model, batch.column(at)) >= keep_from))
 
     return docs.mapInArrow(keep, docs.schema)

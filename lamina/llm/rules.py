@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lamina.llm import kernels as K
-from lamina.llm.common import texts, tune
+from lamina.llm.common import spread, texts, tune
 from lamina.llm.quality import labelled_rows, worded_lines
 
 #: Buckets of each of the two n-gram families (words and word pairs; runs of 3 and of 5 bytes).
@@ -185,6 +185,16 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Linear:
     return fit_linear(x, rows["label"].to_numpy(float), calibrate)
 
 
+def verdicts(model: Linear, column: pa.Array, keep_from: float) -> Iterator[tuple[int, int, dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of a column's texts: first and last row, base counts, whether a base rule fails, score, and verdict."""
+    data, offsets = K.string_buffers(column)
+    for i, j, part, own in K.slices(data, offsets):
+        base = base_counts(part, own)
+        failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
+        value = model.scores(margins(model.weights, grams(part, own, base["_hashes"], base["_rows"], base["n_words"]), j - i))
+        yield i, j, base, failed, value, ~failed & (value >= keep_from)
+
+
 def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_from: float = KEEP_FROM) -> DataFrame:
     """Counts and verdict for every whole text.
 
@@ -198,37 +208,22 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_from:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.string_buffers(batch.column(1))
-            for i, j, part, own in K.slices(data, offsets):
-                base = base_counts(part, own)
-                n_words, repeats = base["n_words"], base["n_repeat_words"]
-                value = model.scores(margins(model.weights, grams(part, own, base["_hashes"], base["_rows"], n_words), j - i))
-                failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
+            for i, j, base, failed, value, kept in verdicts(model, batch.column(1), keep_from):
                 arrays = [pa.array(base[k].astype(np.int64)) for k in names]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], *arrays, pa.array(failed), pa.array(value), pa.array(~failed & (value >= keep_from))],
-                    names=["doc_id", *names, "base_failed", "score", "kept"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *arrays, pa.array(failed), pa.array(value), pa.array(kept)], names=["doc_id", *names, "base_failed", "score", "kept"])
 
-    return texts(docs).mapInArrow(score, "doc_id long, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, score double, kept boolean")
+    return spread(texts(docs)).mapInArrow(score, "doc_id long, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, score double, kept boolean")
 
 
 def keep_passing(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs`` (all columns) that pass the base rules and the classifier."""
+    """The rows of ``docs`` (all columns) that pass the base rules and the classifier; a null text has no words, repeated rows repeat."""
     tune(docs.sparkSession)
     model = train(docs, labels, bound)
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.string_buffers(batch.column(place))
-            verdicts = [np.zeros(0, bool)]
-            for i, j, part, own in K.slices(data, offsets):
-                base = base_counts(part, own)
-                n_words, repeats = base["n_words"], base["n_repeat_words"]
-                value = model.scores(margins(model.weights, grams(part, own, base["_hashes"], base["_rows"], n_words), j - i))
-                failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
-                verdicts.append(~failed & (value >= keep_from))
-            yield batch.filter(pa.array(np.concatenate(verdicts)))
+            kept = [np.zeros(0, bool), *(own for *_, own in verdicts(model, batch.column(place), keep_from))]
+            yield batch.filter(pa.array(np.concatenate(kept)))
 
     return docs.mapInArrow(keep, docs.schema)
