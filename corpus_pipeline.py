@@ -53,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and reread as the next one's input."""
+    """Apply the stages to ``documents``; each result is written as Parquet and reread as the next one's input.
+
+    A null text counts as empty: it has fewer than ten words, so the rules reject it. Rows that repeat a key are judged
+    each by itself and reduced to one by ``near_dedup``; rows without a key stay. An empty table gives no pieces.
+    """
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
