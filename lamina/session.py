@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Settings the engine relies on; results differ or plans fail without them.
+#: Settings for sessions that the library makes itself; operators that need one set it where they use it.
 REQUIRED = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
