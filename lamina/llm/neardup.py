@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -261,7 +262,8 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, prefix: int, percent: i
     if edges and held is not None:
         for part in head:
             yield _found([], part, EDGE)
-        yield _found([], held, EDGE)
+        if not first_run_open or sum(len(h[1]) for h in head) > reach:  # else all rows are of one short run and are out
+            yield _found([], held, EDGE)
 
 
 ENTRY = "key", "doc_id", "n", "sketch", "c"
@@ -483,9 +485,20 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     verdicts = materialise(near_duplicates(docs, k, percent).where("doc_id is not null"))
     (own,) = fresh(docs, "_own")
-    kept = verdicts.where("kept").select(F.col("doc_id").alias(own)).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == F.col(own), "left_semi")
+    key = docs["doc_id"].cast("long")
+    standing = verdicts.groupBy(F.col("doc_id").alias(own)).agg(F.bool_or("kept").alias("kept"))
+    dropped = materialise(standing.where("not kept").select(own))
+    words = membership(dropped, own)
+
+    @F.pandas_udf("boolean")
+    def in_question(at: pd.Series) -> pd.Series:
+        return pd.Series(passes(words, at.to_numpy()))
+
+    # most rows are not in question and stay where they are
+    test = in_question(slot(key))
+    keyed = docs.where(docs["doc_id"].isNotNull())
+    named = keyed.where(~test).unionByName(keyed.where(test).join(dropped, key == F.col(own), "left_anti"))
     if not verdicts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        whole = F.struct(*[docs[c] for c in docs.columns])
+        whole = F.struct(*[named[c] for c in named.columns])
         named = named.groupBy(named["doc_id"].cast("long").alias(own)).agg(F.min_by(whole, F.struct(named["text"], F.xxhash64(F.to_json(whole)))).alias("row")).select("row.*")
     return named.unionByName(docs.where("doc_id is null"))
