@@ -10,6 +10,7 @@ and so doubles their length, and writes the outcome as a table, so a plan stays
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,7 @@ FALLBACK_TABLES = "/tmp/checkpoints"
 def shared_tables(spark) -> str:
     """The folder that driver and executors share; a default only on a local master, where there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return (named or FALLBACK_TABLES).rstrip("/")
 
