@@ -59,16 +59,16 @@ class Collection:
         self._broken: list[tuple[str, str]] = []
         spoken = self.data_dir / "Localization"
         main = self._headers(sorted(self.data_dir.glob("*.pak")))
-        self.paths = [p for p, _ in sorted(main, key=lambda x: archives.load_key(x[0], x[1].header["priority"]))]
+        self.paths = [p for p, _ in sorted(main, key=lambda x: archives.load_key(x[0], x[1]["priority"]))]
         self.language_paths = [p for p, _ in self._headers(sorted(spoken.rglob("*.pak")))] if spoken.is_dir() else []
 
-    def _headers(self, paths: list[Path]) -> list[tuple[str, archives.Archive]]:
-        """Archives that can be opened; files without a signature are parts or foreign, damaged archives are issues."""
+    def _headers(self, paths: list[Path]) -> list[tuple[str, dict]]:
+        """Paths and headers of archives that can be opened; files without a signature are parts or foreign, damaged archives are issues."""
         out = []
         for path in paths:
             if archives.is_archive(path):
                 try:
-                    out.append((str(path), archives.open_archive(path)))
+                    out.append((str(path), archives.open_archive(path).header))
                 except archives.ArchiveError as problem:
                     self._broken.append((path.name, str(problem)))
         return out
@@ -177,21 +177,16 @@ class Collection:
 
     def _objects(self, files: DataFrame) -> DataFrame:
         """A row for each game object with a key, in the order of load, file and node."""
-        written = layers._written(trees.attributes(files))
-        objects = layers._written(trees.nodes(files)).where("id = 'GameObjects'").select("doc", "node_idx")
-        held = objects.join(written, ["doc", "node_idx"])
-        shown = F.coalesce("value", "handle", F.lit(""))
         wanted = {"map_key": "MapKey", "name": "Name", "type": "Type", "stats": "Stats", "icon": "Icon", "_template": "TemplateName", "_parent": "ParentTemplateId", "_level": "LevelName"}
-        picked = [F.coalesce(F.max(F.when(F.col("id") == a, shown)), F.lit("")).alias(c) for c, a in wanted.items()]
-        spoken = [F.coalesce(F.max(F.when(F.col("id") == "DisplayName", F.col(c))), F.lit("")).alias(n) for c, n in (("handle", "handle"), ("value", "_inline"))]
-        rows = held.groupBy("doc", "node_idx").agg(*picked, *spoken).where("map_key <> ''")
+        rows = trees.objects(files, "GameObjects", wanted, "DisplayName").withColumnRenamed("inline", "_inline").where("map_key <> ''")
         rows = rows.withColumn("parent_template", F.coalesce(F.nullif("_template", F.lit("")), "_parent")).withColumn("source", self.name_of(F.col("doc")))
         return self.with_text(rows, "handle", "display_name", F.col("_inline"))
 
     def _last(self, rows: DataFrame) -> DataFrame:
         """The last definition of each key, with the order in which keys were first and last seen."""
-        seen = rows.groupBy("map_key").agg(F.min(F.struct("doc", "node_idx")).alias("first_order"), F.max(F.struct("doc", "node_idx")).alias("last_order"))
-        return layers.last_wins(rows.select("map_key", "doc", "node_idx", *[c for c in TEMPLATE if c != "map_key"]), ["map_key"], ["doc", "node_idx"]).drop("doc", "node_idx").join(seen, "map_key")
+        seq = F.struct("doc", "node_idx")
+        won = rows.groupBy("map_key").agg(F.max_by(F.struct(*[c for c in TEMPLATE if c != "map_key"]), seq).alias("w"), F.min(seq).alias("first_order"), F.max(seq).alias("last_order"))
+        return won.select("map_key", "w.*", "first_order", "last_order")
 
     @cached_property
     def _template_files(self) -> DataFrame:
@@ -221,10 +216,9 @@ class Collection:
         files = self.layered((".txt",), ("itemcombos",)).where(F.lower(self.name_of(F.col("doc"))).contains("/stats/generated/"))
         rows = recipes.recipes(layers._written(recipes.lines(files))).withColumn("source", self.name_of(F.col("doc")))
         rows = rows.withColumn("seq", F.struct("doc", "first_block"))
-        seen = rows.groupBy("name").agg(F.min("seq").alias("first_order"))
         # maps cannot be compared, so the winner is picked by order alone
-        won = rows.groupBy("name").agg(F.max_by(F.struct("ingredients", "results", "data", "source"), "seq").alias("w")).select("name", "w.*")
-        return layers._written(won.join(seen, "name"))
+        won = rows.groupBy("name").agg(F.max_by(F.struct("ingredients", "results", "data", "source"), "seq").alias("w"), F.min("seq").alias("first_order"))
+        return layers._written(won.select("name", "w.*", "first_order"))
 
     def typed(self, name: str) -> DataFrame:
         """One typed data set: resolved type and data, texts of name and description, sorted by lower-case name."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from lamina.functions import text
 from lamina.operators import find, inherit, layers
 from lamina.operators.collection import Collection
 from lamina.plans.catalogue import register, table
-from lamina.plans.fixtures import encoded, shared_folder, write_archives
+from lamina.plans.fixtures import dealt, encoded, shared_folder, write_archives
 from lamina.sources import archives, codecs, definitions, localization, recipes, trees
 
 
@@ -238,14 +241,19 @@ def sample_collection(spark: SparkSession, sf: str) -> Collection:
     keyed = part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
     placed = supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
     made = [(keyed, "Public/Base/RootTemplates/", ".lsx", template), (keyed, "Public/Base/Stats/Generated/Data/", ".txt", stats), (keyed, "Public/Base/Stats/Generated/ItemCombos/", ".txt", combos), (placed, "Mods/Base/Levels/Town/Items/", ".lsx", instance)]
-    for i, (rows, where, suffix, make) in enumerate(made):
-        files = encoded(rows.withColumn("doc", F.col("k").cast("string")), make).select(F.col("doc").cast("long").alias("ord"), F.concat(F.lit(where), "doc", F.lit(suffix)).alias("name"), "content")
-        write_archives(files, folder, 2, prefix=f"Base{i}")
-    texts = encoded(keyed.withColumn("doc", F.col("k").cast("string")), spoken).select(F.col("doc").cast("long").alias("ord"), F.concat(F.lit("text/"), "doc", F.lit(".xml")).alias("name"), "content")
-    write_archives(texts, folder / "Localization", 1, prefix="English")
     # the patch gives every ninth template another name; its definitions are layered, not replaced
-    patched = encoded(keyed.where("k % 9 = 0").withColumn("doc", F.col("k").cast("string")), lambda r: trees.write_xml(objects([{"MapKey": uuid_of("a", r["k"]), "Name": f"New_{r['k']}", "Stats": f"P_{r['k']}", "DisplayName": f"h{r['k']:x}g1g2g3g4"}])).encode())
-    write_archives(patched.select(F.col("doc").cast("long").alias("ord"), F.concat(F.lit("Public/Base/RootTemplates/"), "doc", F.lit(".lsx")).alias("name"), "content"), folder, 1, prefix="Patch2")
+    patched = lambda r: trees.write_xml(objects([{"MapKey": uuid_of("a", r["k"]), "Name": f"New_{r['k']}", "Stats": f"P_{r['k']}", "DisplayName": f"h{r['k']:x}g1g2g3g4"}])).encode()
+
+    def put(rows: DataFrame, make, where: str, suffix: str, target: Path, number: int, prefix: str) -> None:
+        # written first: placing the files by range would make each of them twice
+        files = layers._written(encoded(dealt(rows.withColumn("doc", F.col("k").cast("string"))), make))
+        files = files.select(F.col("doc").cast("long").alias("ord"), F.concat(F.lit(where), "doc", F.lit(suffix)).alias("name"), "content")
+        write_archives(files, target, number, prefix=prefix)
+
+    jobs = [(rows, make, where, suffix, folder, 2, f"Base{i}") for i, (rows, where, suffix, make) in enumerate(made)]
+    jobs += [(keyed, spoken, "text/", ".xml", folder / "Localization", 1, "English"), (keyed.where("k % 9 = 0"), patched, "Public/Base/RootTemplates/", ".lsx", folder, 1, "Patch2")]
+    with ThreadPool(len(jobs)) as pool:  # an archive is one task's, so several are written at once
+        pool.starmap(put, jobs)
     return Collection(spark, folder)
 
 

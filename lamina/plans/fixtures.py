@@ -6,6 +6,7 @@ Every task writes the files of its rows, so nothing is gathered on the driver bu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 from uuid import uuid4
 
@@ -29,16 +30,22 @@ def write_archives(files: DataFrame, folder: Path, number: int, version: int = 1
     where = str(folder)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        if rows:
-            path = f"{where}/{prefix}_{min(r[0] for r in rows):012d}.pak"
-            archives.write_archive(path, [(name, bytes(data)) for _, name, data in rows], version, method, priority)
+        rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+        if first := next(rows, None):
+            path = f"{where}/{prefix}_{first[0]:012d}.pak"
+            archives.write_archive(path, ((name, bytes(data)) for _, name, data in chain([first], rows)), version, method, priority)
             yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
     ordered = files.select(F.col("ord").cast("long"), "name", F.col("content").cast("binary")).repartitionByRange(number, "ord").sortWithinPartitions("ord")
     return sorted(r["path"] for r in ordered.mapInArrow(put, "path string").collect())
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The same rows over all cores: a small table is one split, but its documents take long to make."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def encoded(rows: DataFrame, make: Callable[[dict], bytes]) -> DataFrame:
     """``doc, content``: a document of each row, written by ``make``."""
 

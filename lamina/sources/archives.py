@@ -1,8 +1,8 @@
 """Archives of game data: header, entry table, stored files; read as DataFrames, written one file at a time.
 
 ``spark.read.format("lamina_archives")`` lists entries or, with ``content=true``, returns the files' bytes. A task reads a
-run of entries of about ``TASK_BYTES``, so one large archive is read by many tasks; a solid archive is one task, since its
-files lie in one compressed frame. Name filters are applied before any file is read.
+run of entries of about ``TASK_BYTES``, ``TASK_ENTRIES`` at most, so one large archive is read by many tasks; a solid archive
+is one task, since its files lie in one compressed frame. Name filters are applied before any file is read.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from lamina.sources import codecs
 
 MAGIC = b"LSPK"
-TASK_BYTES = 64 << 20
+TASK_BYTES, TASK_ENTRIES = 64 << 20, 1 << 16
 # Record layouts of the archive versions (little-endian).
 START = {10: "<4sIIIHBBI", 15: "<4sIQIBB16s", 16: "<4sIQIBB16sH", 18: "<4sIQIBB16sH"}
 START_FIELDS = {
@@ -73,7 +74,22 @@ class Entry:
 class Archive:
     path: str
     header: dict
-    entries: list[Entry] = field(default_factory=list)
+    #: The entry table's records, as they are stored.
+    table: np.ndarray
+
+    @cached_property
+    def entries(self) -> list[Entry]:
+        return self.some(0, len(self.table))
+
+    def some(self, first: int, last: int) -> list[Entry]:
+        """The entries from ``first`` up to ``last``, with absolute offsets."""
+        rows, version = self.table[first:last], self.header["version"]
+        offset = rows["low"].astype(np.int64) | rows["high"].astype(np.int64) << 32 if version == 18 else rows["offset"].astype(np.int64)
+        if version == 10:
+            offset = offset + np.where(rows["archive_part"] == 0, self.header["data_offset"], 0)
+        crc = rows["crc"].tolist() if "crc" in rows.dtype.names else [0] * len(rows)
+        columns = (rows["name"].tolist(), offset.tolist(), rows["archive_part"].tolist(), rows["flags"].tolist(), rows["size_on_disk"].tolist(), rows["uncompressed_size"].tolist(), crc)
+        return [Entry(i, name.decode("utf-8", "replace"), *rest) for i, (name, *rest) in enumerate(zip(*columns), first)]
 
     @property
     def solid(self) -> bool:
@@ -137,8 +153,8 @@ def _exactly(held, size: int, what: str) -> bytes:
     return data
 
 
-def read_table(held, header: dict) -> list[Entry]:
-    """The entry table, with absolute offsets."""
+def read_table(held, header: dict) -> np.ndarray:
+    """The entry table."""
     version, record = header["version"], _record(header["version"])
     held.seek(header["file_list_offset"])
     if version == 10:
@@ -155,13 +171,7 @@ def read_table(held, header: dict) -> list[Entry]:
             table = codecs.block(_exactly(held, packed, "file list"), number * record.itemsize)
         except codecs.CodecError as problem:
             raise ArchiveError(f"corrupt file list: {problem}") from problem
-    rows = np.frombuffer(table, record)
-    offset = rows["low"].astype(np.int64) | rows["high"].astype(np.int64) << 32 if version == 18 else rows["offset"].astype(np.int64)
-    if version == 10:
-        offset = offset + np.where(rows["archive_part"] == 0, header["data_offset"], 0)
-    crc = rows["crc"].tolist() if "crc" in record.names else [0] * len(rows)
-    columns = (rows["name"].tolist(), offset.tolist(), rows["archive_part"].tolist(), rows["flags"].tolist(), rows["size_on_disk"].tolist(), rows["uncompressed_size"].tolist(), crc)
-    return [Entry(i, name.decode("utf-8", "replace"), *rest) for i, (name, *rest) in enumerate(zip(*columns))]
+    return np.frombuffer(table, record)
 
 
 def open_archive(path: str | Path) -> Archive:
@@ -170,7 +180,7 @@ def open_archive(path: str | Path) -> Archive:
         with open(path, "rb") as held:
             header = read_header(held)
             archive = Archive(str(path), header, read_table(held, header))
-            if archive.solid and archive.entries:
+            if archive.solid and len(archive.table):
                 solid_places(archive)
             return archive
     except OSError as problem:
@@ -246,25 +256,25 @@ def read_file(path: str | Path, name: str) -> bytes:
     return next(read_files(archive, named[-1:]))[1]
 
 
-def write_archive(path: str | Path, files: list[tuple[str, bytes]], version: int = 13, method: int = codecs.LZ4, priority: int = 0) -> Path:
+def write_archive(path: str | Path, files: Iterable[tuple[str, bytes]], version: int = 13, method: int = codecs.LZ4, priority: int = 0) -> Path:
     """Writes a single-part archive (version 10 or 13)."""
     if version not in (10, 13):
         raise ArchiveError("archives are written in version 10 or 13")
-    rows, blobs, at = np.zeros(len(files), RECORD_OLD), [], 0
-    for i, (name, data) in enumerate(files):
+    rows, blobs, at = [], [], 0
+    for name, data in files:
         raw = name.replace("\\", "/").encode()
         if len(raw) > 256:
             raise ArchiveError(f"name too long: {name!r}")
         blob, used = codecs.pack(data, method)
-        rows[i] = (raw, at, len(blob), 0 if used == codecs.STORED else len(data), 0, used, 0)
+        rows.append((raw, at, len(blob), 0 if used == codecs.STORED else len(data), 0, used, 0))
         blobs.append(blob)
         at += len(blob)
-    table = rows.tobytes()
+    table = np.array(rows, RECORD_OLD).tobytes()
     if version == 10:
         begin = struct.calcsize(START[10])
-        parts = [struct.pack(START[10], MAGIC, 10, begin + len(table), len(table), 1, 0, priority, len(files)), table, *blobs]
+        parts = [struct.pack(START[10], MAGIC, 10, begin + len(table), len(table), 1, 0, priority, len(rows)), table, *blobs]
     else:
-        listing = len(files).to_bytes(4, "little") + codecs.pack_block(table)
+        listing = len(rows).to_bytes(4, "little") + codecs.pack_block(table)
         tail = struct.pack(TAIL, 13, at, len(listing), 1, 0, priority, hashlib.md5(table).digest())
         parts = [*blobs, listing, tail, struct.pack("<i4s", len(tail) + 8, MAGIC)]
     with open(path, "wb") as held:
@@ -320,17 +330,17 @@ class ArchiveReader(DataSourceReader):
         for order, path in enumerate(self.paths):
             archive = open_archive(path)
             begin, size = 0, 0
-            for i, entry in enumerate(archive.entries):
-                size += entry.size_on_disk * self.content
-                if size >= TASK_BYTES and not archive.solid:
-                    runs.append(Run(path, order, begin, i + 1))
-                    begin, size = i + 1, 0
-            runs.append(Run(path, order, begin, len(archive.entries)))
+            for i, own in enumerate(() if archive.solid else archive.table["size_on_disk"].tolist(), 1):
+                size += own * self.content
+                if size >= TASK_BYTES or i - begin >= TASK_ENTRIES:
+                    runs.append(Run(path, order, begin, i))
+                    begin, size = i, 0
+            runs.append(Run(path, order, begin, len(archive.table)))
         return runs
 
     def read(self, run: Run):
         archive = open_archive(run.path)
-        wanted = [e for e in archive.entries[run.first : run.last] if self.keeps(e.name)]
+        wanted = [e for e in archive.some(run.first, run.last) if self.keeps(e.name)]
         if self.content:
             rows, held = [], 0
             for entry, data in read_files(archive, wanted):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.text import numbered, stem
 from lamina.sources.definitions import directives, text_of
-from lamina.sources.trees import as_batch
+from lamina.sources.trees import gathered
 
 # Fields of ingredients and results, by their name in lower case without blanks.
 INGREDIENT = {"type": "type", "object": "object", "combine": "combine", "transform": "transform", "ingredienttype": "type", "ingredient": "object"}
@@ -20,18 +20,19 @@ LINES = "doc string, block int, kind string, name string, line int, key string,
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"new ItemCombination": "recipe", "new ItemCombinationResult": "result"}
-    for batch in batches:
-        for doc, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows, block, kind, name = [], -1, None, None
-            for line, keyword, given in directives(text_of(data.as_py() or b""), comments=False):
-                if keyword.startswith("new "):
-                    block, kind, name = block + 1, kinds.get(keyword), given[0]
-                    if kind:
-                        rows.append((doc, block, kind, name, line, None, None))
-                elif keyword == "data" and len(given) > 1 and kind:
-                    rows.append((doc, block, kind, name, line, given[0], given[1]))
-            if rows:
-                yield as_batch(rows, LINES)
+
+    def rows_of(doc: str, data: bytes) -> list[tuple]:
+        rows, block, kind, name = [], -1, None, None
+        for line, keyword, given in directives(text_of(data), comments=False):
+            if keyword.startswith("new "):
+                block, kind, name = block + 1, kinds.get(keyword), given[0]
+                if kind:
+                    rows.append((doc, block, kind, name, line, None, None))
+            elif keyword == "data" and len(given) > 1 and kind:
+                rows.append((doc, block, kind, name, line, given[0], given[1]))
+        return rows
+
+    return gathered(batches, rows_of, LINES)
 
 
 def lines(files: DataFrame) -> DataFrame:

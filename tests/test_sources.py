@@ -246,3 +246,19 @@ def test_localization():
     for bad in (b"<other/>", b"<contentList>"):
         with pytest.raises(localization.LocalizationError):
             localization.read(bad)
+
+
+def test_many_small_files_are_read_by_several_tasks_in_few_batches(tmp_path):
+    import pyarrow as pa
+
+    names = [f"Stats/{i}.txt" for i in range(70_000)]
+    path = archives.write_archive(tmp_path / "many.pak", ((n, n.encode()) for n in names))
+    reader = archives.ArchiveReader({"path": str(path), "content": "true"})
+    runs = reader.partitions()
+    assert len(runs) == 2
+    read = pa.Table.from_batches([b for run in runs for b in reader.read(run)])
+    assert read.column("name").to_pylist() == names and read.column("entry_ord").to_pylist() == list(range(70_000))
+    assert read.column("content").to_pylist() == [n.encode() for n in names]
+    docs = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(1000)]), pa.array([f'new entry "P_{i}"\n'.encode() if i else None for i in range(1000)], pa.binary())], names=["doc", "content"])
+    (batch,) = definitions._read(iter([docs]))
+    assert batch.column("name").to_pylist() == [f"P_{i}" for i in range(1, 1000)]
