@@ -1,10 +1,11 @@
 """SentencePiece encoding, decoding and sampling without replacement.
 
-The best segmentation and decoding are the library's. Sampled segmentations come
+The best segmentation and decoding are the library's; merges stay inside words, so it is asked for each distinct
+word once, unless the model or a text rules that out (see ``Library``). Sampled segmentations come
 from the lattice of all vocabulary pieces of the whole text: each complete path has
 the log-probability of its scaled piece scores. No piece has a word mark after
 another character, so no path crosses into a word in the middle of a piece, and the
-lattice is a chain of words; edges and backward masses are computed once for each
+lattice is a chain of words; runs of characters that are in no longer piece are words, too; edges and backward masses are computed once for each
 distinct word, many words at a time.
 
 Top-k sampling without replacement is an A-star search over sets of paths whose
@@ -22,9 +23,11 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +39,12 @@ from lamina.llm.tokens import tokenizer_path
 
 TEMPERATURE = 0.1
 MARK = "▁"
-#: A run of marks and the characters up to the next mark.
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Edges that a worker keeps; beyond, it begins anew (about 100 MB).
-CACHE_EDGES = 4_000_000
+#: Characters whose runs are words of their own, where no longer piece holds them.
+LONE = "\t\n\r" + string.punctuation
+#: Steps of a path from which the sets that leave it are looked at first, and the most that a step's noise can be.
+REACH, MOST_NOISE = 64, 37.0
+#: Edges that a worker keeps; beyond, it begins anew (about 220 MB).
+CACHE_EDGES = 9_000_000
 #: Characters from a word's end up to which places of all words are worked on at once.
 TOGETHER = 64
 _MANY = K.stream(71, 8)
@@ -75,6 +80,15 @@ class Trie:
         self.grows[[n for n, _ in moves]] = True
         self.longest = max(map(len, vocabulary), default=1)
         self.crossing = any(MARK in piece.lstrip(MARK) for piece in vocabulary)
+        held = set().union(*(piece for piece in vocabulary if len(piece) > 1))
+        self.lone = "".join(c for c in LONE if c not in held)
+        # a run of marks and the characters up to the next mark or lone character, or a run of the latter
+        own = re.escape(self.lone)
+        self.unit = re.compile(f"{MARK}*[^{MARK}{own}]+|{MARK}+" + (f"|[{own}]+" if own else ""))
+        self.root = np.full(1 << 16, -1, np.int64)
+        for (node, c), to in moves.items():
+            if not node and c < len(self.root):
+                self.root[c] = to
         size = 1 << (2 * len(moves) + 1).bit_length()
         self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
         keys = np.array([n << 21 | c for n, c in moves], np.int64)
@@ -91,6 +105,14 @@ class Trie:
         with np.errstate(over="ignore"):
             return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64) & self.mask
 
+    def start(self, chars: np.ndarray) -> np.ndarray:
+        """The nodes that the characters lead to from the root."""
+        node = self.root[np.minimum(chars, len(self.root) - 1)]
+        far = np.flatnonzero(chars >= len(self.root) - 1)
+        if len(far):
+            node[far] = self.step(np.zeros(len(far), np.int64), chars[far])
+        return node
+
     def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """The nodes that the characters lead to, -1 where none does."""
         keys = nodes << 21 | chars
@@ -107,53 +129,108 @@ class Trie:
         return out
 
 
+class Library:
+    """The library's encoding of words, where that of a text is those of its words in a row.
+
+    That is so for merges by rank with bytes for unknown characters, if no piece crosses words. Many words are encoded as
+    one text, each behind a line end, which no merge passes; the characters that each id stands for tell which ids are a
+    word's. ``holds`` turns false at the first words that do not normalise to themselves; whole texts are then encoded,
+    as are texts that bring marks of their own.
+    """
+
+    def __init__(self, processor, trie: Trie, vocabulary: dict[str, tuple[int, float]], byte_ids: list[int]):
+        self.processor, self.byte_ids = processor, np.array(byte_ids)
+        ranked = processor.is_byte(byte_ids[0]) and all(score == int(score) for _, score in vocabulary.values())
+        self.holds = ranked and not trie.crossing and "\n" in trie.lone
+        self.sizes = np.zeros(processor.get_piece_size(), np.int64)
+        self.sizes[[own for own, _ in vocabulary.values()]] = list(map(len, vocabulary))
+        self.sizes[byte_ids] = [int(b & 0xC0 != 0x80) for b in range(256)]  # a character's first byte stands for it
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """``-1 - character`` as the id of its byte, where it has one byte."""
+        return np.where((ids < 0) & (ids >= -128), self.byte_ids[np.clip(-1 - ids, 0, 127)], ids)
+
+    def encode(self, units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some words (of ``sizes`` characters) with others between them, and where each word's begin and end."""
+        ends = np.cumsum(sizes + 1) + 1  # a mark comes before the first line end
+        if self.holds:
+            spelt = "\n" + "\n".join(units)
+            plain = spelt.replace(MARK, " ")
+            ids = self.processor.encode(plain, return_type="numpy")
+            reach = np.cumsum(self.sizes[ids])
+            self.holds = self.processor.normalize(plain) == MARK + spelt and int(reach[-1]) == int(ends[-1])
+        if not self.holds:
+            return np.zeros(0, np.int32), np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        return ids, np.searchsorted(reach, ends - sizes, "right"), np.searchsorted(reach, ends, "right")
+
+
 class Lattice:
     """Edges of distinct words with their probabilities, given that the edge's first place is reached.
 
     ``first[p]`` is the first edge of place ``p``; an edge has the place it leads to (-1: the word's end), its
     log-probability, the cumulated probability of its place's edges so far, and its id (``-1 - character`` where the
-    character has no piece and is its bytes).
+    character has no piece and is its bytes; a single byte's own id if the library is known).
     """
 
-    def __init__(self, trie: Trie, theta: float):
-        self.trie, self.theta = trie, theta
+    def __init__(self, trie: Trie, theta: float, library: Library | None = None):
+        self.trie, self.theta, self.library = trie, theta, library
+        self._room()
         self.clear()
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
-        self.n_places = self.n_edges = 0
-        self.first, self.owner, self.to = (np.zeros(1 << 18, np.int32) for _ in range(3))
-        self.logq, self.cum, self.ids = np.zeros(1 << 18), np.zeros(1 << 18), np.zeros(1 << 18, np.int32)
+        self.n_places = self.n_edges = self.n_best = 0
+
+    def _room(self) -> None:
+        """Arrays for as many edges as are kept; memory is taken only where it is written."""
+        self.first, self.to, self.ids, self.begin, self.best, self.best_begin, self.best_size = (np.empty(CACHE_EDGES // k, np.int32) for k in (2, 1, 1, 8, 4, 8, 8))
+        self.logq, self.cum = np.empty(CACHE_EDGES), np.empty(CACHE_EDGES)
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
-        if at + len(values) > len(held):
-            held = np.concatenate((held, np.zeros(max(len(held), at + len(values)), held.dtype)))
+        if at + len(values) > len(held):  # memory is taken where it is written, so half as much again costs nothing yet
+            grown = np.empty((at + len(values)) * 3 // 2, held.dtype)
+            grown[:at] = held[:at]
+            held = grown
             setattr(self, name, held)
         held[at : at + len(values)] = values
 
     def split(self, text: str) -> list[str]:
         """The words of a normalised text; the whole text if a piece of the model could cross them."""
-        return UNIT.findall(text) if not self.trie.crossing else [text] if text else []
+        return self.trie.unit.findall(text) if not self.trie.crossing else [text] if text else []
 
-    def places(self, words: list[list[str]]) -> list[np.ndarray]:
-        """The first place of each word of texts."""
+    def number(self, words: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of each text's words, which hold up to the next call."""
         if self.n_edges > CACHE_EDGES:
             self.clear()
-        known = self.units
-        new = [u for u in set().union(*words) if u not in known]
+        known, every = self.units, list(chain.from_iterable(words))
+        flat = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
+        late = np.flatnonzero(flat < 0).tolist()
+        new = list(dict.fromkeys(every[i] for i in late))
         for i in range(0, len(new), 20_000):
             self.add(new[i : i + 20_000])
-        return [np.fromiter(map(known.__getitem__, own), np.int64, len(own)) for own in words]
+        flat[late] = [known[every[i]] for i in late]
+        ends = np.cumsum([0, *map(len, words)]).tolist()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def encoded(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
+        """The library's ids of texts, from those of their words."""
+        flat = np.concatenate(numbers)
+        sizes = self.best_size[flat].astype(np.int64)
+        behind = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.best[np.repeat(self.best_begin[flat] - behind[:-1], sizes) + np.arange(behind[-1])]
+        ends = behind[np.cumsum([0, *map(len, numbers)])].tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def add(self, units: list[str]) -> None:
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         n, ends = len(chars), np.cumsum(sizes)
         left = np.repeat(ends, sizes) - np.arange(n)  # characters up to the word's end
-        at, node, found = np.arange(n), np.zeros(n, np.int64), []
+        at, node, found = np.arange(n), self.trie.start(chars), []
         for size in range(1, self.trie.longest + 1):
-            node = self.trie.step(node, chars[at + size - 1])
+            if size > 1:
+                node = self.trie.step(node, chars[at + size - 1])
             on = np.flatnonzero(node >= 0)
             at, node = at[on], node[on]
             piece = np.flatnonzero(self.trie.number[node] >= 0)
@@ -197,11 +274,19 @@ class Lattice:
         cum = total - np.repeat(np.concatenate(([0.0], total))[first], counts)
         cum[first + counts - 1] = np.inf
         for name, start, values in (
-            ("first", self.n_places, np.append(first, len(origin)) + self.n_edges), ("owner", self.n_edges, origin + self.n_places), ("to", self.n_edges, np.where(inner, origin + size + self.n_places, -1)),
-            ("logq", self.n_edges, logq), ("cum", self.n_edges, cum), ("ids", self.n_edges, ids),
+            ("first", self.n_places, np.append(first, len(origin)) + self.n_edges), ("to", self.n_edges, np.where(inner, origin + size + self.n_places, -1)),
+            ("logq", self.n_edges, logq), ("cum", self.n_edges, cum), ("ids", self.n_edges, self.library.bytes_of(ids) if self.library else ids),
         ):
             self._put(name, start, values)
-        self.units.update(zip(units, (ends - sizes + self.n_places).tolist()))
+        known = len(self.units)
+        self._put("begin", known, ends - sizes + self.n_places)
+        if self.library:
+            best, begin, end = self.library.encode(units, sizes)
+            self._put("best", self.n_best, best)
+            self._put("best_begin", known, begin + self.n_best)
+            self._put("best_size", known, end - begin)
+            self.n_best += len(best)
+        self.units.update(zip(units, range(known, known + len(units))))
         self.n_places, self.n_edges = self.n_places + n, self.n_edges + len(origin)
 
     def walk(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +310,14 @@ class Lattice:
         return out, steps
 
     def draw(self, words: list[list[str]], keys: list[int], count: int) -> list[Search]:
-        """Searches with up to ``count`` paths of each text (its words), by falling perturbed value. Every step works on all texts at once."""
+        """Searches with up to ``count`` paths of each text (its words), by falling perturbed value."""
+        return self.search(self.number(words), keys, count)
+
+    def search(self, numbers: list[np.ndarray], keys: list[int], count: int) -> list[Search]:
+        """The same for texts given by their words' numbers. Every step works on all texts at once."""
         seeds = K.splitmix(np.array([k & (2**64 - 1) for k in keys], np.uint64))
-        searches = [Search(self, w, s) for w, s in zip(self.places(words), seeds)]
+        values = gumbel(uniform(mixed(seeds, 2, np.zeros(len(seeds), np.int64)), 0)).tolist()
+        searches = [Search(self, self.begin[n].astype(np.int64), s, v) for n, s, v in zip(numbers, seeds, values)]
         for rank in range(count):
             waiting = [(s, branch) for s in searches if (branch := s.branch(rank)) is not None]
             if not waiting:
@@ -254,49 +344,66 @@ class Lattice:
         logq = self.logq[path]
         total = np.cumsum(logq)
         base = total[offset] - logq[offset]
-        mass = np.full(len(path), -np.inf)
-        some = np.flatnonzero(logq < 0.0)
-        own = logq[some]
-        mass[some] = total[some] - own - np.repeat(base, lengths)[some] + np.log(-np.expm1(own))
-        values = np.array([b.value for _, b in waiting])
         logp = total[offset + lengths - 1] - base
         ids = self.ids[path]
-        for (search, branch), at, n, p in zip(waiting, offset, lengths, logp):
-            search.paths.append((path[at : at + n], float(p), branch.value, ids[at : at + n]))
+        for (search, branch), at, n, p in zip(waiting, offset.tolist(), lengths.tolist(), logp.tolist()):
+            search.paths.append((path[at : at + n], p, branch.value, ids[at : at + n]))
             search.ends.append(ends[at : at + n])
-            if branch.step >= 0:
-                mass[at : at + branch.step] = -np.inf  # those leave an earlier path and are its sets
-                mass[at + branch.step] = float(total[at + branch.step] - logq[at + branch.step] - base[np.searchsorted(offset, at)]) + self.rest(path[at + branch.step], branch.out)
-        open_ = np.flatnonzero(mass > -np.inf)  # steps at which there was a choice
-        owner = np.searchsorted(offset, open_, "right") - 1
-        noise = gumbel(uniform(mixed(seeds[owner], 3 * rank + 1, open_ - offset[owner]), 0))
-        held = np.full(len(path), -np.inf)
-        held[open_] = -np.logaddexp(-values[owner], -(mass[open_] + noise))
-        for _ in range(wanted):
-            top = np.maximum.reduceat(held, offset)
-            hit = np.flatnonzero(held == np.repeat(top, lengths))
-            hit = hit[np.searchsorted(hit, offset)]
-            for (search, branch), at, i, value in zip(waiting, offset.tolist(), hit.tolist(), top.tolist()):
-                if value > -math.inf:
-                    step = i - at
-                    out = branch.out if step == branch.step else (int(path[i]),)
-                    heapq.heappush(search.sets, (-value, len(search.paths), step, out))
-            held[hit] = -np.inf
-
-    def edges_of(self, place: int) -> range:
-        """A place's edges: the last one's cumulated probability is infinite."""
-        first = last = int(self.first[place])
-        while self.cum[last] != np.inf:
-            last += 1
+        # Sets before the branch's step leave an earlier path and are its own. A step's mass is below the path's
+        # probability up to it, so beyond some steps no noise can bring one among the largest.
+        start = np.array([max(b.step, 0) for _, b in waiting])
+        todo, reach = np.arange(len(waiting)), REACH
+        while len(todo):
+            own = np.minimum(lengths[todo] - start[todo], reach)
+            begin = np.cumsum(own) - own
+            owner = np.repeat(todo, own)
+            step = np.arange(int(own.sum())) - np.repeat(begin - start[todo], own)
+            at = offset[owner] + step
+            before = total[at] - logq[at] - base[owner]
+            mass = np.full(len(at), -np.inf)
+            some = np.flatnonzero(logq[at] < 0.0)
+            mass[some] = before[some] + np.log(-np.expm1(logq[at[some]]))
+            for i, j in zip(begin.tolist(), todo.tolist()):
+                branch = waiting[j][1]
+                if branch.step >= 0:
+                    mass[i] = before[i] + self.rest(path[at[i]], branch.out)
+            open_ = np.flatnonzero(mass > -np.inf)  # steps at which there was a choice
+            mass[open_] += gumbel(uniform(mixed(seeds[owner[open_]], 3 * rank + 1, step[open_]), 0))
+            tops = []
+            for _ in range(wanted):
+                top = np.maximum.reduceat(mass, begin)
+                hit = np.flatnonzero(mass == np.repeat(top, own))
+                hit = hit[np.searchsorted(hit, begin)]
+                tops.append((top, step[hit]))
+                mass[hit] = -np.inf
+            last = offset[todo] + start[todo] + own - 1
+            whole = (start[todo] + own == lengths[todo]) | (total[last] - base[todo] + MOST_NOISE < tops[-1][0])
+            for top, steps in tops:
+                for j, value, i in zip(todo[whole].tolist(), top[whole].tolist(), steps[whole].tolist()):
+                    if value > -math.inf:
+                        search, branch = waiting[j]
+                        out = branch.out if i == branch.step else (int(path[offset[j] + i]),)
+                        heapq.heappush(search.sets, (float(np.logaddexp(-branch.value, -value)), len(search.paths), i, out))
+            todo, reach = todo[~whole], reach * 8
+
+    def beside(self, edge: int) -> range:
+        """All edges of an edge's place: the last one's cumulated probability is infinite."""
+        edge, most = int(edge), self.trie.longest
+        begin = max(edge - most, 0)
+        ends = np.flatnonzero(self.cum[begin : edge + most] == np.inf) + begin
+        at = int(np.searchsorted(ends, edge))
+        first, last = int(ends[at - 1]) + 1 if at else begin, int(ends[at])
         return range(first, last + 1)
 
     def rest(self, edge: int, out: tuple[int, ...]) -> float:
         """Log-probability that a path leaves an edge's place by none of ``out``."""
-        left = [self.logq[e] for e in self.edges_of(self.owner[edge]) if e not in out]
+        left = [self.logq[e] for e in self.beside(edge) if e not in out]
         return float(np.logaddexp.reduce(left)) if left else -math.inf
 
     def spell(self, ids: np.ndarray, byte_ids: list[int]) -> np.ndarray:
         """Vocabulary ids, with the bytes of characters that have no piece."""
+        if not len(ids) or ids.min() >= 0:
+            return ids
         out, begin = [], 0
         for i in np.flatnonzero(ids < 0).tolist():
             out += [ids[begin:i], np.array([byte_ids[b] for b in chr(-1 - int(ids[i])).encode()], np.int32)]
@@ -316,6 +423,17 @@ def uniform(seeds: np.ndarray, step: int) -> np.ndarray:
         return (K.splitmix(seeds + np.uint64(step + 1) * _MANY[2]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def uniform_of(seed: int, use: int, place: int) -> float:
+    """``uniform(mixed(seed, use, place), 0)`` for one place."""
+    x = seed + (use + 1) * int(_MANY[0]) + place * int(_MANY[1])
+    for more in (0, int(_MANY[2])):
+        x = (x + more) & (2**64 - 1)
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
+        x ^= x >> 31
+    return (x >> 11) * 2.0**-53
+
+
 def gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(np.maximum(u, 1e-300)))
 
@@ -335,8 +453,8 @@ class Branch:
 class Search:
     """The search over one text's paths. A set holds the paths that share a path's first steps and do not go on by some edges."""
 
-    def __init__(self, lattice: Lattice, words: np.ndarray, seed: np.uint64):
-        self.lattice, self.words, self.seed = lattice, words, seed
+    def __init__(self, lattice: Lattice, words: np.ndarray, seed: np.uint64, value: float):
+        self.lattice, self.words, self.seed, self.value = lattice, words, seed, value
         self.paths: list[tuple[np.ndarray, float, float, np.ndarray]] = []  # edges, log-probability, value, ids
         self.ends: list[np.ndarray] = []  # of each path: words complete after each step
         self.sets: list[tuple[float, int, int, tuple[int, ...]]] = []  # -value, number of the path, step, edges left out
@@ -345,15 +463,15 @@ class Search:
         """The next path's beginning: of the set with the largest maximum, which leaves its earlier path by another edge."""
         none = np.zeros(0, np.int64)
         if rank == 0:
-            value = float(gumbel(uniform(mixed(self.seed, 2, np.zeros(1, np.int64)), 0))[0])
-            return Branch(self.words, none, none, value) if len(self.words) else None
+            return Branch(self.words, none, none, self.value) if len(self.words) else None
         if not self.sets:
             return None
         value, number, step, out = heapq.heappop(self.sets)
         lattice, edges, ends = self.lattice, self.paths[number - 1][0], self.ends[number - 1]
-        choice = [e for e in lattice.edges_of(lattice.owner[edges[step]]) if e not in out]
-        odds = np.cumsum(np.exp(lattice.logq[choice] - lattice.logq[choice].max()))
-        r = uniform(mixed(self.seed, 3 * rank + 2, np.array([step])), 0)[0] * odds[-1]
+        choice = [e for e in lattice.beside(edges[step]) if e not in out]
+        logq = lattice.logq[choice]
+        odds = np.cumsum(np.exp(logq - logq.max()))
+        r = uniform_of(int(self.seed), 3 * rank + 2, step) * odds[-1]
         edge = choice[min(int(np.searchsorted(odds, r, "right")), len(choice) - 1)]
         complete, to = int(ends[step - 1]) if step else 0, int(lattice.to[edge])
         later = self.words[complete + 1 :]
@@ -366,7 +484,9 @@ class Search:
 
 @lru_cache(maxsize=2)
 def lattice_of(path: str, theta: float) -> Lattice:
-    return Lattice(Trie(load(path)[1], theta), theta)
+    processor, vocabulary, byte_ids = load(path)
+    trie = Trie(vocabulary, theta)
+    return Lattice(trie, theta, Library(processor, trie, vocabulary, byte_ids))
 
 
 def inclusion(logp: float, threshold: float) -> float:
@@ -379,9 +499,14 @@ Drawn = list[tuple[np.ndarray, float, float]]
 
 def sample_words(words: list[list[str]], keys: list[int], count: int, path: str, theta: float = TEMPERATURE) -> list[Drawn]:
     """``count`` distinct segmentations of each whole text (its normalised words) at most: ids, log-probability, inclusion score."""
+    return sample_numbers(lattice_of(path, theta).number(words), keys, count, path, theta)
+
+
+def sample_numbers(numbers: list[np.ndarray], keys: list[int], count: int, path: str, theta: float = TEMPERATURE) -> list[Drawn]:
+    """The same for texts given by their words' numbers in the lattice."""
     byte_ids, lattice = load(path)[2], lattice_of(path, theta)
     out = []
-    for search in lattice.draw(words, keys, count):
+    for search in lattice.search(numbers, keys, count):
         least = search.threshold()
         out.append([(lattice.spell(ids, byte_ids), p, inclusion(p, least)) for _, p, _, ids in search.paths] or [(np.zeros(0, np.int32), 0.0, 1.0)])
     return out
@@ -411,13 +536,14 @@ def encode(docs: DataFrame, samples: int = 2, model: str = "piece_bpe_32k.model"
         processor, lattice = load(path)[0], lattice_of(path, TEMPERATURE)
 
         def work(keys: list[int | None], held: list[str]) -> pa.RecordBatch:
-            words = [lattice.split(processor.normalize(text)) for text in held]
-            drawn = sample_words(words, [-1 if k is None else k for k in keys], samples, path) if samples else [[]] * len(held)
+            numbers = lattice.number([lattice.split(processor.normalize(text)) for text in held])
+            drawn = sample_numbers(numbers, [-1 if k is None else k for k in keys], samples, path) if samples else [[]] * len(held)
             ids, texts_, logps, shares, counts = [], [], [], [], []
-            for text, own in zip(held, drawn):
-                best = processor.encode(text)
-                ids += [np.array(best, np.int32), *(found for found, _, _ in own)]
-                texts_ += [processor.decode(best)] * (1 + len(own))
+            for text, own, best in zip(held, drawn, lattice.encoded(numbers)):
+                if not lattice.library.holds or MARK in text:
+                    best = np.array(processor.encode(text), np.int32)
+                ids += [best, *(found for found, _, _ in own)]
+                texts_.append(processor.decode(best.tolist()))
                 logps += [None, *(logp for _, logp, _ in own)]
                 shares += [1.0, *(share for _, _, share in own)]
                 counts.append(1 + len(own))
@@ -425,8 +551,9 @@ def encode(docs: DataFrame, samples: int = 2, model: str = "piece_bpe_32k.model"
             rank = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-            key = pa.array(keys, pa.int64()).take(pa.array(np.repeat(np.arange(len(keys)), counts)))
-            return pa.RecordBatch.from_arrays([key, pa.array(rank.astype(np.int32)), lists, pa.array(logps, pa.float64()), pa.array(shares), pa.array(texts_, pa.string())], names=[c.split()[0] for c in PIECES.split(", ")])
+            origin = pa.array(np.repeat(np.arange(len(keys)), counts))
+            key, decoded = pa.array(keys, pa.int64()).take(origin), pa.array(texts_, pa.string()).take(origin)
+            return pa.RecordBatch.from_arrays([key, pa.array(rank.astype(np.int32)), lists, pa.array(logps, pa.float64()), pa.array(shares), decoded], names=[c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
             keys, held, size = [], [], 0

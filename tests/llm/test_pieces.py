@@ -94,3 +94,29 @@ def test_encode_keeps_every_row(spark):
         assert model.decode(r["ids"]) == r["decoded"] and 0 < r["inclusion"] <= 1 or r["doc_id"] == 4
     assert sum(r["rank"] == 2 for r in got) == 4 and len(got) == 3 * 4 + 2 * 2
     assert encode(frame.limit(0)).count() == 0
+
+
+def test_texts_are_encoded_by_their_words():
+    from lamina.llm.pieces import MARK, lattice_of, load
+    from lamina.llm.tokens import tokenizer_path
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    processor, lattice = load(path)[0], lattice_of(path, 0.1)
+    parts = ["word", "Word,", " ", "  ", "\n", "\n\n", "\t", ".", "!?", "中文", "\U0001f600", "é", "<s>", "</s>", "<0x0A>", "12.5", "-", " ", "\x00", "_", "x" * 90, "", "\r\n"]
+    chosen = random.Random(3)
+    texts = [a + b + c for a, b, c in itertools.product(parts[:12], repeat=3)] + ["".join(chosen.choices(parts, k=chosen.randrange(40))) for _ in range(2000)]
+    numbers = lattice.number([lattice.split(processor.normalize(t)) for t in texts])
+    assert lattice.library.holds and not any(MARK in t for t in texts)
+    for text, ids in zip(texts, lattice.encoded(numbers)):
+        assert ids.tolist() == processor.encode(text), text
+
+
+def test_sets_behind_a_paths_first_steps(monkeypatch):
+    from lamina.llm import pieces
+
+    text = "ab" * 5 + "c" * 300 + "ab" * 200
+    found = {}
+    for reach in (1, 64, 10**6):
+        monkeypatch.setattr(pieces, "REACH", reach)
+        found[reach] = [search(text, 20, seed) for seed in range(20)]
+    assert found[1] == found[64] == found[10**6]
