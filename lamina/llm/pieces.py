@@ -5,7 +5,7 @@ word once, unless the model or a text rules that out (see ``Library``). Sampled
 from the lattice of all vocabulary pieces of the whole text: each complete path has
 the log-probability of its scaled piece scores. No piece has a word mark after
 another character, so no path crosses into a word in the middle of a piece, and the
-lattice is a chain of words; runs of characters that are in no longer piece are words, too; edges and backward masses are computed once for each
+lattice is a chain of words; runs of punctuation are words, too, where no piece holds it together with others; edges and backward masses are computed once for each
 distinct word, many words at a time.
 
 Top-k sampling without replacement is an A-star search over sets of paths whose
@@ -24,6 +24,7 @@ import heapq
 import math
 import re
 import string
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,8 +40,6 @@ from lamina.llm.tokens import tokenizer_path
 
 TEMPERATURE = 0.1
 MARK = "▁"
-#: Characters whose runs are words of their own, where no longer piece holds them.
-LONE = "\t\n\r" + string.punctuation
 #: Steps of a path from which the sets that leave it are looked at first, and the most that a step's noise can be.
 REACH, MOST_NOISE = 64, 37.0
 #: Edges that a worker keeps; beyond, it begins anew (about 220 MB).
@@ -80,11 +79,15 @@ class Trie:
         self.grows[[n for n, _ in moves]] = True
         self.longest = max(map(len, vocabulary), default=1)
         self.crossing = any(MARK in piece.lstrip(MARK) for piece in vocabulary)
-        held = set().union(*(piece for piece in vocabulary if len(piece) > 1))
-        self.lone = "".join(c for c in LONE if c not in held)
-        # a run of marks and the characters up to the next mark or lone character, or a run of the latter
+        # neither letters, marks nor decimal digits, and in no piece together with those (higher planes slow expressions down)
+        lone = {c for c in set(string.punctuation).union("\t\n\r", *vocabulary) if c < "\U00010000" and unicodedata.category(c)[0] not in "LM" and unicodedata.category(c) != "Nd"} - {MARK}
+        longer = [set(piece) for piece in vocabulary if len(piece) > 1]
+        while mixed_ := [held for held in longer if held & lone and held - lone - {MARK}]:
+            lone -= set().union(*mixed_)
+        self.lone, self.alone = "".join(sorted(lone)), lone.difference(*longer)
+        # a run of marks and the characters up to the next mark, either all lone or none
         own = re.escape(self.lone)
-        self.unit = re.compile(f"{MARK}*[^{MARK}{own}]+|{MARK}+" + (f"|[{own}]+" if own else ""))
+        self.unit = re.compile(f"{MARK}*[^{MARK}{own}]+|{MARK}*[{own}]+|{MARK}+" if own else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.root = np.full(1 << 16, -1, np.int64)
         for (node, c), to in moves.items():
             if not node and c < len(self.root):
@@ -141,7 +144,7 @@ class Library:
     def __init__(self, processor, trie: Trie, vocabulary: dict[str, tuple[int, float]], byte_ids: list[int]):
         self.processor, self.byte_ids = processor, np.array(byte_ids)
         ranked = processor.is_byte(byte_ids[0]) and all(score == int(score) for _, score in vocabulary.values())
-        self.holds = ranked and not trie.crossing and "\n" in trie.lone
+        self.holds = ranked and not trie.crossing and "\n" in trie.alone
         self.sizes = np.zeros(processor.get_piece_size(), np.int64)
         self.sizes[[own for own, _ in vocabulary.values()]] = list(map(len, vocabulary))
         self.sizes[byte_ids] = [int(b & 0xC0 != 0x80) for b in range(256)]  # a character's first byte stands for it
@@ -561,7 +564,7 @@ def encode(docs: DataFrame, samples: int = 2, model: str = "piece_bpe_32k.model"
                 keys.append(key)
                 held.append(text)
                 size += len(text)
-                if size > 1 << 18:  # arrays of that many steps stay near the processor
+                if size > 1 << 19:  # arrays of that many steps stay near the processor
                     yield work(keys, held)
                     keys, held, size = [], [], 0
             if keys:
